@@ -156,8 +156,8 @@ def rendered_item(item: Column) -> Column:
 
 def render_context(items: Column) -> Column:
     """One deterministic text for a set of evidence structs, ordered by evidence id."""
-    ordered = F.array_sort(F.transform(items, lambda i: F.struct(i["evidence_id"], i)))
-    return F.array_join(F.transform(ordered, lambda p: rendered_item(p["col2"])), "\n\n")
+    ordered = F.array_sort(F.transform(items, lambda i: F.struct(i["evidence_id"].alias("id"), i.alias("item"))))
+    return F.array_join(F.transform(ordered, lambda p: rendered_item(p["item"])), "\n\n")
 
 
 def chosen_text(problem: Column, chosen: Column) -> Column:
