@@ -554,7 +554,8 @@ def price_lookup(spark: SparkSession, d: str) -> DataFrame:
         "interaction_id", "ticker", F.date_add("date", 3).alias("date")
     )
     rows = prices.lookup_prices(asked, V.prices(spark, d))
-    return rows.select("interaction_id", "ticker", _day("date"), "row_timestamp", "close")
+    known = F.coalesce("close", F.lit(-1.0)).alias("close")
+    return rows.select("interaction_id", "ticker", _day("date"), "row_timestamp", known)
 
 
 @query
@@ -600,7 +601,7 @@ def company_lookup(spark: SparkSession, d: str) -> DataFrame:
     )
     caps = _market_caps(spark, d).select("ticker", F.col("price").alias("value"))
     return prices.company_lookup(asked, _companies(spark, d), caps).select(
-        "asked", "name", "symbol", "market_cap"
+        "asked", "name", "symbol", F.coalesce("market_cap", F.lit(-1.0)).alias("market_cap")
     )
 
 
@@ -727,7 +728,7 @@ def _decisions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def retry_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return _decisions(spark, d)
+    return _decisions(spark, d).na.fill(0, ["round_reserved_tokens", "combined_reserved_tokens"])
 
 
 @query

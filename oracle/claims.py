@@ -119,7 +119,9 @@ FROM (SELECT b.interaction_id, b.policy, NOT b.sufficient AS retried,
     CASE WHEN b.sufficient THEN b.answer ELSE s.answer END AS final_prediction, p.input_tokens
   FROM e_before b JOIN e_second s USING (interaction_id, policy)
   JOIN e_pred p USING (interaction_id, policy))"""
-ORACLE["retry_decisions"] = compose("SELECT * FROM e_decision")
+ORACLE["retry_decisions"] = compose("""
+SELECT * REPLACE (coalesce(round_reserved_tokens, 0) AS round_reserved_tokens,
+  coalesce(combined_reserved_tokens, 0) AS combined_reserved_tokens) FROM e_decision""")
 ORACLE["retry_summary"] = compose("""
 SELECT policy, count(*) AS requests, count_if(retried) AS retries,
   count_if(before_verdict = 'supported_price_field') AS supported_before,

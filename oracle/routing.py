@@ -167,7 +167,7 @@ ORACLE["daily_prices"] = compose("""
 SELECT ticker, strftime(date, '%Y-%m-%d') AS date, open, close, ticks FROM price""")
 ORACLE["price_lookup"] = compose("""
 SELECT q.interaction_id, q.ticker, strftime(q.date + 3, '%Y-%m-%d') AS date, p.row_timestamp,
-  p.close FROM e_query q LEFT JOIN price p ON p.ticker = q.ticker AND p.date = q.date + 3""")
+  coalesce(p.close, -1) AS close FROM e_query q LEFT JOIN price p ON p.ticker = q.ticker AND p.date = q.date + 3""")
 ORACLE["price_coverage"] = compose("""
 SELECT ticker, count(*) AS rows, strftime(min(date), '%Y-%m-%d') AS first_date,
   strftime(max(date), '%Y-%m-%d') AS last_date,
@@ -180,7 +180,7 @@ ORACLE["company_lookup"] = """
 WITH named AS (SELECT p_name AS name, max(p_partkey) AS k FROM part GROUP BY p_name),
 asked AS (SELECT p_partkey AS asked,
   CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || ' Inc' END AS name FROM part)
-SELECT a.asked, a.name, 'P' || n.k AS symbol, p.p_retailprice AS market_cap
+SELECT a.asked, a.name, 'P' || n.k AS symbol, coalesce(p.p_retailprice, -1) AS market_cap
 FROM asked a LEFT JOIN named n USING (name) LEFT JOIN part p ON p.p_partkey = n.k"""
 ORACLE["probe_violations"] = """
 SELECT CASE WHEN p_partkey % 4 = 1 THEN 'X' ELSE 'P' END || p_partkey AS location,
