@@ -131,7 +131,7 @@ def _pick(index: Column, texts: tuple[str, ...]) -> Column:
 
 
 def price_questions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select(
+    rows = spread(table(spark, d, "events")).select(
         "event_id", "ts", ticker().alias("ticker"), F.to_date("ts").alias("date")
     )
     return rows.select(

@@ -18,14 +18,17 @@ def term_features(chunks: DataFrame) -> DataFrame:
     """Replace chunk text by the counts BM25 needs.
 
     ``chunks`` carries the question's sorted distinct terms as ``q_terms``; the result has the
-    chunk's term total and its count of each query term, aligned with ``q_terms``. Term
-    occurrences are counted inside the row, so no word leaves its chunk.
+    chunk's term total and (term, n) for the query terms it holds, in sorted order. Terms are
+    counted inside the row, so no word leaves its chunk, and a chunk's cost depends on the
+    terms it shares with the question rather than on the question's length.
     """
     found = chunks.withColumn("terms", terms("content")).drop("content")
-    hits = F.filter("terms", lambda t: F.array_contains(F.col("q_terms"), t))
-    counts = let(
-        hits,
-        lambda own: F.transform("q_terms", lambda q: F.size(F.filter(own, lambda t: t == q))),
+    shared = F.array_intersect("q_terms", "terms")
+    counts = F.transform(
+        shared,
+        lambda q: F.struct(
+            q.alias("term"), F.size(F.filter("terms", lambda t: t == q)).alias("n")
+        ),
     )
     return (
         found.withColumn("n_terms", F.size("terms")).withColumn("tf", counts).drop("terms", "q_terms")
@@ -36,23 +39,22 @@ def pool_statistics(features: DataFrame) -> DataFrame:
     """Pool size, mean length and document frequencies per question.
 
     Both levels combine map-side, so a question that owns most chunks ships only one partial
-    row per term and task.
+    row per term and task. The two totals travel under names no term can have.
     """
-    entry = lambda slot, value: F.struct(
-        slot.cast("int").alias("slot"), value.cast("long").alias("value")
+    entry = lambda term, value: F.struct(
+        term.alias("term"), value.cast("long").alias("value")
     )
-    present = F.filter(
-        F.transform("tf", lambda n, i: F.when(n > 0, entry(i, F.lit(1)))),
-        lambda e: e.isNotNull(),
+    totals = F.array(entry(F.lit("#"), F.lit(1)), entry(F.lit("##"), F.col("n_terms")))
+    present = F.transform("tf", lambda e: entry(e["term"], F.lit(1)))
+    rows = features.select("interaction_id", F.explode(F.concat(totals, present)).alias("e"))
+    sums = rows.groupBy("interaction_id", "e.term").agg(F.sum("e.value").alias("value"))
+    pick = lambda name: F.max(F.when(F.col("term") == name, F.col("value")))
+    frequency = F.collect_list(
+        F.when(~F.col("term").isin("#", "##"), F.struct("term", "value"))
     )
-    totals = F.array(entry(F.lit(-1), F.lit(1)), entry(F.lit(-2), F.col("n_terms")))
-    slots = features.select("interaction_id", F.explode(F.concat(totals, present)).alias("e"))
-    sums = slots.groupBy("interaction_id", "e.slot").agg(F.sum("e.value").alias("value"))
-    pick = lambda slot: F.max(F.when(F.col("slot") == slot, F.col("value")))
-    frequency = F.collect_list(F.when(F.col("slot") >= 0, F.struct("slot", "value")))
     return sums.groupBy("interaction_id").agg(
-        pick(-1).alias("n_candidates"),
-        (pick(-2) / pick(-1)).alias("mean_terms"),
+        pick("#").alias("n_candidates"),
+        (pick("##") / pick("#")).alias("mean_terms"),
         F.map_from_entries(frequency).alias("df"),
     )
 
@@ -71,19 +73,20 @@ def bm25_scores(
         F.lit(1 - b) + F.lit(b) * F.col("n_terms") / F.nullif(F.col("mean_terms"), F.lit(0.0))
     )
 
-    def add(total: Column, item: Column) -> Column:
-        tf = item["tf"]
-        df = F.element_at("df", item["slot"])
+    def part(hit: Column, df: Column, length: Column) -> Column:
         idf = F.log(1 + (F.col("n_candidates") - df + 0.5) / (df + 0.5))
-        return total + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + F.col("norm"))).otherwise(0.0)
-
-    items = F.transform("tf", lambda n, i: F.struct(i.alias("slot"), n.alias("tf")))
-    score = F.aggregate(items, F.lit(0.0), add)
-    return (
-        joined.withColumn("norm", norm)
-        .withColumn("score", F.coalesce(score, F.lit(0.0)))
-        .drop("tf", "df", "norm", "mean_terms")
+        return idf * hit["n"] * (k1 + 1) / (hit["n"] + length)
+
+    score = let(
+        norm,
+        lambda length: F.aggregate(
+            "tf",
+            F.lit(0.0),
+            lambda total, hit: total
+            + let(F.element_at("df", hit["term"]), lambda df: part(hit, df, length)),
+        ),
     )
+    return joined.withColumn("score", F.coalesce(score, F.lit(0.0))).drop("tf", "df", "mean_terms")
 
 
 def rank_order(score: str = "score", identity: str = "evidence_id") -> list[Column]:
@@ -159,13 +162,18 @@ def select_context(
 
 def unit_vector(vector: Column) -> Column:
     """Vector of length 1 in double precision; a zero vector stays zero."""
-    values = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(values, lambda x: x / F.greatest(norm, F.lit(1e-12)))
+
+    def scaled(values: Column) -> Column:
+        norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x * x))
+        return let(
+            F.greatest(norm, F.lit(1e-12)), lambda n: F.transform(values, lambda x: x / n)
+        )
+
+    return let(vector.cast("array<double>"), scaled)
 
 
 def dot(left: Column, right: Column) -> Column:
-    products = F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double"))
+    products = F.zip_with(left, right, lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 

@@ -96,16 +96,18 @@ def source_hints(query: Column | str) -> Column:
 
 def gate(capabilities: Column, asked: Column) -> Column:
     """(name, reason) per capability; a null reason means eligible on the question's date."""
-    return F.transform(
-        capabilities,
-        lambda c: F.struct(
+
+    def judged(c: Column, day: Column) -> Column:
+        late = c["requires_as_of"] & (c["as_of_date"] != day)
+        return F.struct(
             c["name"].alias("name"),
             F.when(~c["available"], "unavailable")
             .when(c["requires_as_of"] & c["as_of_date"].isNull(), "snapshot_date_unknown")
-            .when(c["requires_as_of"] & (c["as_of_date"] != asked), "snapshot_date_mismatch")
+            .when(late, "snapshot_date_mismatch")
             .alias("reason"),
-        ),
-    )
+        )
+
+    return let(asked, lambda day: F.transform(capabilities, lambda c: judged(c, day)))
 
 
 def apportion(sources: Column, budget: Column) -> Column:

@@ -125,7 +125,7 @@ def sample_disjoint(
     order = questions.select(
         "interaction_id",
         shuffle_key(seed).alias("position"),
-        question_key("query").alias("text"),
+        F.sha2(question_key("query"), 256).alias("text"),
     )
     past = excluded.select("interaction_id").distinct()
     unknown = past.join(questions, "interaction_id", "left_anti").take(1)

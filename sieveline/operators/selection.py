@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import is_int, not_unit, require, violations
 from ..functions.text import let, requirements, terms, word_count
+from ..plans.lineage import fan_out
 
 METHODS = ("top_k", "mmr", "coverage", "joint", "exact")
 MAX_POOL = 14
@@ -82,7 +83,7 @@ def problems(pool: DataFrame, questions: DataFrame) -> DataFrame:
     pair = F.transform(
         "pool", lambda a: F.transform("pool", lambda b: jaccard(a["found"], b["found"]))
     )
-    return rows.select(
+    return fan_out(rows, "interaction_id").select(
         "interaction_id",
         "requirements",
         candidates.alias("candidates"),

@@ -14,13 +14,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from the files.
 
     The cluster names the folder in ``spark.checkpoint.dir``; only a session without one
-    (tests, a laptop) gets a scratch folder.
+    (tests, a laptop) gets a scratch folder. The rows are held while they are written, since
+    a checkpoint otherwise computes them a second time.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sieveline-checkpoint-"))
-    return df.checkpoint()
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    written = kept.checkpoint()
+    kept.unpersist()
+    return written
 
 
 def share(df: DataFrame) -> DataFrame:
@@ -49,3 +53,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread small rows that carry heavy per-row work over all shuffle partitions.
+
+    Adaptive execution sizes partitions by bytes and would put thousands of such rows into
+    one task; a requested partition number is kept.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)

@@ -118,7 +118,7 @@ def compare_methods(
     """
     slim = lexical.select("interaction_id", "evidence_id", "word_count", "score")
     pool = slim.drop("score").join(vectors, ["interaction_id", "evidence_id"])
-    dense = dense_scores(pool, question_vectors)
+    dense = share(dense_scores(pool, question_vectors))
     refined = rescore(top_k(dense, dense_top_k), second_scores)
     named = lambda df, m: df.withColumn("method", F.lit(m))
     union = (
