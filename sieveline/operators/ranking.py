@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import is_int, not_finite, require, violations
 from ..functions.text import let, terms
 from ..plans.lineage import cut
+from .skew import salted_join
 
 # Scores are rounded before they are compared: the last bits of a float depend on the order
 # in which an engine adds, and must not decide a rank.
@@ -64,11 +65,11 @@ def bm25_scores(
 ) -> DataFrame:
     """Score every chunk against its own question's pool; chunks without a hit score 0.
 
-    The statistics row of a question holds its own terms only. Whether it is broadcast or
-    merged is left to its measured size; a hot question is split by the skew join.
+    The statistics row of a question holds its own terms only and is joined in salted buckets,
+    so a question that owns a third of all chunks is scored by many tasks.
     """
     require(k1 > 0 and 0 <= b <= 1, "BM25 requires k1 > 0 and b in [0, 1]")
-    joined = features.join(statistics, "interaction_id")
+    joined = salted_join(features, statistics, "interaction_id", "evidence_id")
     norm = F.lit(k1) * (
         F.lit(1 - b) + F.lit(b) * F.col("n_terms") / F.nullif(F.col("mean_terms"), F.lit(0.0))
     )
@@ -182,7 +183,9 @@ def dense_scores(
 ) -> DataFrame:
     """Cosine of each candidate vector with its own question's vector."""
     query = questions.select("interaction_id", unit_vector(F.col(vector)).alias("q_vector"))
-    joined = candidates.join(query, "interaction_id").withColumn(vector, unit_vector(F.col(vector)))
+    joined = salted_join(candidates, query, "interaction_id", "evidence_id").withColumn(
+        vector, unit_vector(F.col(vector))
+    )
     return joined.withColumn("score", dot(F.col(vector), F.col("q_vector"))).drop(
         "q_vector", vector
     )

@@ -130,9 +130,11 @@ def apportion(sources: Column, budget: Column) -> Column:
             lucky,
             lambda extra: F.transform(
                 sources,
-                lambda s: F.struct(
-                    s["name"].alias("name"),
-                    (share(s) + F.array_contains(extra, s["name"]).cast("int")).alias("tokens"),
+                lambda s: F.named_struct(
+                    F.lit("name"),
+                    s["name"],
+                    F.lit("tokens"),
+                    share(s) + F.array_contains(extra, s["name"]).cast("int"),
                 ),
             ),
         )
@@ -179,15 +181,15 @@ def route(
     reasons = F.map_from_entries("gate")
     blocked = F.transform(
         F.filter("asked", lambda h: ~F.array_contains("eligible", h)),
-        lambda h: F.struct(
-            h.alias("name"),
-            F.coalesce(
-                F.element_at(reasons, h), F.lit("capability_not_provisioned")
-            ).alias("reason"),
+        lambda h: F.named_struct(
+            F.lit("name"),
+            h,
+            F.lit("reason"),
+            F.coalesce(F.element_at(reasons, h), F.lit("capability_not_provisioned")),
         ),
     )
     equal = lambda rows: F.transform(
-        rows, lambda n: F.struct(n.alias("name"), F.lit(1).alias("weight"))
+        rows, lambda n: F.named_struct(F.lit("name"), n, F.lit("weight"), F.lit(1))
     )
     chosen = {
         "fixed_web": equal(F.filter("eligible", lambda n: n == "web")),

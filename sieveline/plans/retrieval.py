@@ -19,6 +19,7 @@ from ..operators.ranking import (
     term_features,
     top_k,
 )
+from ..operators.skew import salted_join
 from .lineage import share
 
 METHODS = ("bm25", "dense", "dense_reranked")
@@ -42,7 +43,8 @@ def score_pages(
     these slim rows are kept rather than tokenising every page again.
     """
     asked = questions.select("interaction_id", query_terms("query").alias("q_terms"))
-    chunks = web_chunks(pages.join(asked, "interaction_id"), chunk_words, ("q_terms",))
+    joined = salted_join(pages, asked, "interaction_id", "page_index")
+    chunks = web_chunks(joined, chunk_words, ("q_terms",))
     features = share(term_features(chunks.drop("source_title", "source_time")))
     statistics = pool_statistics(features)
     return Scored(bm25_scores(features, statistics, k1, b), statistics)
