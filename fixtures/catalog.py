@@ -1047,7 +1047,7 @@ def evaluation_packet(spark: SparkSession, d: str) -> DataFrame:
     rows = _packet(spark, d)
     return rows.select(
         "interaction_id",
-        F.size("pages").alias("pages"),
+        F.col("n_pages").alias("pages"),
         F.size("candidates").alias("candidates"),
         F.array_join(F.transform("candidates", lambda c: c["evidence_id"]), ",").alias("evidence"),
         F.sha2(F.get("candidates", F.lit(0))["content"], 256).alias("first_sha256"),
@@ -1068,14 +1068,13 @@ def packet_violations(spark: SparkSession, d: str) -> DataFrame:
 @query
 def decision_violations(spark: SparkSession, d: str) -> DataFrame:
     """Decisions on packets made of each conversation's turns, with seven kinds of defect."""
-    turns = V.table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.concat(F.lit("t"), F.col("turn").cast("string")))).alias(
-            "candidate_ids"
-        )
-    )
+    rows = V.table(spark, d, "conversations")
     key = F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("interaction_id")
+    name = F.concat(F.lit("t"), F.col("turn").cast("string"))
+    candidates = rows.select(key, name.alias("evidence_id"))
+    turns = rows.groupBy("conv_id").agg(F.min(name).alias("first"))
     n = F.col("conv_id") % 8
-    first = F.array(F.get("candidate_ids", F.lit(0)))
+    first = F.array(F.col("first"))
     twice = F.concat(first, first)
     stranger = F.array(F.lit("zz"))
     sets = (
@@ -1085,7 +1084,7 @@ def decision_violations(spark: SparkSession, d: str) -> DataFrame:
         .when(n == 4, F.array().cast("array<array<string>>"))
         .otherwise(F.array(first))
     )
-    rows = turns.select(
+    decided = turns.select(
         key,
         F.when(n == 5, "other").otherwise("hash").alias("packet_sha256"),
         F.when(n == 6, "done").otherwise("reviewed").alias("status"),
@@ -1095,9 +1094,7 @@ def decision_violations(spark: SparkSession, d: str) -> DataFrame:
         (n != 0).alias("attested"),
         sets.alias("acceptable_sets"),
     )
-    return reviews.decision_violations(rows, turns.select(key, "candidate_ids"), "hash").select(
-        "location", "rule"
-    )
+    return reviews.decision_violations(decided, candidates, "hash").select("location", "rule")
 
 
 @query

@@ -189,24 +189,38 @@ def generated_review_violations(reviews: DataFrame, predictions: DataFrame) -> D
     return found.unionByName(_repeated(reviews, *keys))
 
 
-def decision_violations(reviews: DataFrame, packet: DataFrame, packet_sha256: str) -> DataFrame:
+def decision_violations(reviews: DataFrame, candidates: DataFrame, packet_sha256: str) -> DataFrame:
     """Candidate-evidence decisions against the packet they were made on.
 
-    ``packet``: interaction_id and candidate_ids; each review carries the packet hash it names.
+    ``candidates``: (interaction_id, evidence_id) of the packet, one row each; members of the
+    acceptable sets are checked by an anti join. Each review carries the packet hash it names.
     """
-    rows = reviews.join(packet.select("interaction_id", "candidate_ids"), "interaction_id", "left")
+    yes = F.lit(True)
+    questions = candidates.select("interaction_id").distinct().withColumn("known", yes)
+    members = reviews.select(
+        "interaction_id",
+        F.explode(F.flatten(F.filter("acceptable_sets", lambda g: g.isNotNull()))).alias(
+            "evidence_id"
+        ),
+    ).distinct()
+    strangers = members.join(
+        candidates.select("interaction_id", "evidence_id").distinct(),
+        ["interaction_id", "evidence_id"],
+        "left_anti",
+    )
+    strange = strangers.select("interaction_id").distinct().withColumn("strange", yes)
+    rows = reviews.join(questions, "interaction_id", "left").join(strange, "interaction_id", "left")
     sets = F.col("acceptable_sets")
-    bad_set = F.exists(
+    bad_set = F.coalesce("strange", F.lit(False)) | F.exists(
         sets,
         lambda g: g.isNull()
         | (F.size(g) == 0)
         | F.exists(g, lambda x: x.isNull())
-        | (F.size(F.array_distinct(g)) != F.size(g))
-        | (F.size(F.array_except(g, F.col("candidate_ids"))) > 0),
+        | (F.size(F.array_distinct(g)) != F.size(g)),
     )
     same = F.size(F.array_distinct(F.transform(sets, lambda g: F.array_sort(g)))) != F.size(sets)
     reviewed = F.col("status") == "reviewed"
-    known = F.col("candidate_ids").isNotNull()
+    known = F.col("known").isNotNull()
     unresolved = (
         ~F.coalesce("attested", F.lit(False))
         | is_blank(F.coalesce("requirements", F.lit("")))

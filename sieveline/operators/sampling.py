@@ -141,7 +141,8 @@ def sample_disjoint(
     total = questions.count()
     length = size * growth
     while True:
-        prefix = cut(order.orderBy("position", "interaction_id").limit(min(length, total)))
+        short = order.orderBy("position", "interaction_id").limit(length)
+        prefix = cut(short if length < total else order)
         own = pages.join(prefix.select("interaction_id"), "interaction_id", "left_semi")
         links = (
             own.select("interaction_id", canonical_url("page_url").alias("url"))
@@ -226,15 +227,13 @@ def sample_disjoint(
 def packet(
     chosen: DataFrame, questions: DataFrame, pages: DataFrame, candidates: DataFrame
 ) -> DataFrame:
-    """One nested row per chosen question: its pages and ranked candidate spans."""
-    page = F.struct(
-        "page_index", "page_name", "page_url", "page_snippet", "page_result", "page_last_modified"
-    )
+    """One row per chosen question: its page count and its ranked candidate spans.
+
+    Candidates are the few that survived the rank cut. Page texts stay flat (``packet_pages``),
+    because a question may own any number of pages.
+    """
     keys = chosen.select("interaction_id")
-    pages = pages.join(keys, "interaction_id", "left_semi")
-    nested_pages = pages.groupBy("interaction_id").agg(
-        F.array_sort(F.collect_list(page)).alias("pages")
-    )
+    counts = pages.groupBy("interaction_id").agg(F.count("*").cast("int").alias("n_pages"))
     span = F.struct(
         "rank", "evidence_id", "page_index", "field", "char_start", "char_end", "content",
         "word_count",
@@ -245,6 +244,11 @@ def packet(
     return (
         questions.join(keys, "interaction_id", "left_semi")
         .select("interaction_id", "query", "query_time")
-        .join(nested_pages, "interaction_id", "left")
+        .join(counts, "interaction_id", "left")
         .join(nested, "interaction_id", "left")
     )
+
+
+def packet_pages(chosen: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages that belong to a packet, one row each."""
+    return pages.join(chosen.select("interaction_id"), "interaction_id", "left_semi")
