@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import is_int, not_finite, require, violations
 from ..functions.text import let, terms
-from ..plans.lineage import cut
+from ..plans.lineage import pin
 from .skew import salted_join
 
 # Scores are rounded before they are compared: the last bits of a float depend on the order
@@ -113,7 +113,7 @@ def full_rank(scored: DataFrame, by: str = "interaction_id") -> DataFrame:
     out first because partition numbers must not change between the two reads.
     """
     order = rank_order()
-    laid = cut(scored.repartitionByRange(F.col(by), *order)).withColumn(
+    laid = pin(scored.repartitionByRange(F.col(by), *order)).withColumn(
         "part", F.spark_partition_id()
     )
     local = Window.partitionBy("part", by).orderBy(*order)

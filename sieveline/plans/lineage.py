@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -10,17 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 _shared: list[DataFrame] = []
 
 
+def _folder(spark: SparkSession) -> str:
+    """The reliable folder the cluster names; only a session without one gets a scratch folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sieveline-checkpoint-"))
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files.
+    """Write ``df`` as a table into the checkpoint folder and continue from its files.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only a session without one
-    (tests, a laptop) gets a scratch folder. The rows are held while they are written, since
-    a checkpoint otherwise computes them a second time.
+    The rows are computed once, and later rounds start from the files.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sieveline-checkpoint-"))
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` with its partition layout, for plans that rely on partition numbers.
+
+    A checkpoint computes its input again while writing, so the rows are held meanwhile.
+    """
+    _folder(df.sparkSession)
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     written = kept.checkpoint()
     kept.unpersist()
