@@ -14,6 +14,12 @@ from ..functions.rules import require_none, violations
 _BLOCK = 8 * 1024 * 1024
 
 
+def _uri(path: str) -> str:
+    """Spark lists local files as file:/x, which URI parsers expect as file:///x."""
+    short = path.startswith("file:/") and not path.startswith("file://")
+    return "file://" + path.removeprefix("file:") if short else path
+
+
 def file_digests(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, bytes, sha256) of stored files.
 
@@ -28,10 +34,7 @@ def file_digests(spark: SparkSession, *paths: str) -> DataFrame:
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                system, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1)
-                                                      if path.startswith("file:/")
-                                                      and not path.startswith("file:///")
-                                                      else path)
+                system, name = fs.FileSystem.from_uri(_uri(path))
                 total = hashlib.sha256()
                 with system.open_input_stream(name) as stream:
                     while block := stream.read(_BLOCK):
