@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
-from .common import table, tokenizer_path
+from . import packing, simhash
+from .common import ship, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,11 +17,26 @@ ORACLE: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, d)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 @query
 def op3_packing(spark: SparkSession, d: str) -> DataFrame:
     placed = packing.pack_documents(table(spark, d, "documents"), tokenizer_path())
     return placed.withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op10_simhash(spark: SparkSession, d: str) -> DataFrame:
+    found = simhash.simhash_groups(table(spark, d, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
+        F.col("group").alias("component_id"),
+    )
