@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import packing, rules, simhash
 from .common import ship, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,12 @@ def op10_simhash(spark: SparkSession, d: str) -> DataFrame:
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         F.col("group").alias("component_id"),
     )
+
+
+@query
+def op6_rules(spark: SparkSession, d: str) -> DataFrame:
+    rated, _ = rules.judged(table(spark, d, "documents"), table(spark, d, "labels"))
+    return rated.select(
+        F.col("doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "rule",
+    )
