@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rules, simhash
+from . import classifier, packing, rules, simhash
 from .common import ship, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,9 @@ def op6_rules(spark: SparkSession, d: str) -> DataFrame:
         F.col("doc").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "rule",
     )
+
+
+@query
+def op1_classifier(spark: SparkSession, d: str) -> DataFrame:
+    rated = classifier.scores(table(spark, d, "documents"), table(spark, d, "labels"))
+    return rated.withColumnRenamed("doc", "doc_id")
