@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, packing, rules, simhash
+from . import classifier, packing, projections, rules, simhash
 from .common import ship, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,8 @@ def op6_rules(spark: SparkSession, d: str) -> DataFrame:
 def op1_classifier(spark: SparkSession, d: str) -> DataFrame:
     rated = classifier.scores(table(spark, d, "documents"), table(spark, d, "labels"))
     return rated.withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op7_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return projections.near_vectors(table(spark, d, "embeddings"))
