@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, packing, projections, rules, simhash
+from . import classifier, packing, projections, rules, simhash, suffixes
 from .common import ship, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,11 @@ def op1_classifier(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op7_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return projections.near_vectors(table(spark, d, "embeddings"))
+
+
+@query
+def op9_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    cleaned = suffixes.remove_repeats(table(spark, d, "documents"))
+    return cleaned.select(
+        F.col("doc").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
