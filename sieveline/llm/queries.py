@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, packing, projections, rules, simhash, suffixes
+from . import classifier, packing, passages, projections, rules, simhash, suffixes
 from .common import ship, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,12 @@ def op9_suffixes(spark: SparkSession, d: str) -> DataFrame:
     return cleaned.select(
         F.col("doc").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
     )
+
+
+@query
+def op4_passages(spark: SparkSession, d: str) -> DataFrame:
+    found = passages.passages_by_text(passages.near_passages(table(spark, d, "documents")))
+    return found.select(F.col("doc").alias("doc_id"), F.explode("spans").alias("s")).select(
+        "doc_id", F.col("s.low").alias("first_word"), (F.col("s.high") - F.col("s.low")).alias("n_words"),
+        F.array_sort("s.others").alias("repeats_doc_ids"),
+    )
