@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, packing, passages, projections, rules, simhash, suffixes
+from . import classifier, packing, passages, projections, rules, sentencepieces, simhash, suffixes
 from .common import ship, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,9 @@ def op4_passages(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", F.col("s.low").alias("first_word"), (F.col("s.high") - F.col("s.low")).alias("n_words"),
         F.array_sort("s.others").alias("repeats_doc_ids"),
     )
+
+
+@query
+def op5_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    coded = sentencepieces.encode_and_decode(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return coded.select(F.col("doc").alias("doc_id"), "n_ids", "ids_crc32", "round_trip", (F.col("differing_pieces") == 0).alias("parity"))

@@ -47,34 +47,48 @@ def segments(text: str, size: int = _SEGMENT) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def key_of(piece: str) -> str:
+    """A key without a space stands for " " + key, of any other its first space goes."""
+    return piece[1:] if piece[0] == " " and " " not in piece[1:] else " " + piece
+
+
+def literal(key: str) -> str:
+    return key[1:] if " " in key else " " + key
+
+
 def keys_of(text: str) -> list[str]:
-    """Pieces of a text. A key without a space stands for " " + key, else its first space goes."""
+    """Keys of the pieces of a text."""
     if not text:
         return []
     if _IRREGULAR.search(text) is None:
         keys = text.split(" ")
         keys[0] = " " + keys[0]
         return keys
-    return [
-        piece[1:] if piece[0] == " " and " " not in piece[1:] else " " + piece
-        for piece in _SAFE_CUT.split(text)
-    ]
-
-
-def literal(key: str) -> str:
-    return key[1:] if " " in key else " " + key
+    return [key_of(piece) for piece in _SAFE_CUT.split(text)]
 
 
 class PieceEncoder:
     """Ids of whole texts; remembers at most ``limit`` pieces and then starts afresh."""
 
     def __init__(self, path: str, limit: int = 700_000) -> None:
+        self.tokenizer = self._load(path)
+        self.limit = limit
+        self._reset()
+
+    def _load(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self._reset()
+        return Tokenizer.from_file(path)
+
+    def _keys(self, text: str) -> list[str]:
+        return keys_of(text)
+
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _prepared(self, text: str) -> str:
+        return text
 
     def _reset(self) -> None:
         self.index = _Index()
@@ -89,7 +103,7 @@ class PieceEncoder:
         self.index.unseen = []
         for at in range(0, len(unseen), 4096):
             some = [literal(key) for key in unseen[at : at + 4096]]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            ids = self._ids(some)
             sizes = np.fromiter(map(len, ids), np.int32, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
             low, high = first + at, first + at + len(ids)
@@ -107,7 +121,7 @@ class PieceEncoder:
         keys: list[str] = []
         counts = np.zeros(len(parts), np.int64)
         for n, part in enumerate(parts):
-            own = keys_of(part)
+            own = self._keys(part)
             counts[n] = len(own)
             keys += own
         if len(self.index) > self.limit or self.used > 8 * self.limit:
@@ -128,7 +142,7 @@ class PieceEncoder:
         waiting: list[list[str]] = []
         held = 0
         for text in texts:
-            parts = list(segments(text)) if text else []
+            parts = list(segments(self._prepared(text))) if text else []
             waiting.append(parts)
             held += len(text or "")
             if held > _BATCH_CHARS:
@@ -148,11 +162,11 @@ class PieceEncoder:
             at, part = at + n, part + len(parts)
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[type, str], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, kind: type[PieceEncoder] = PieceEncoder) -> PieceEncoder:
     """One encoder for each worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (kind, path) not in _encoders:
+        _encoders[kind, path] = kind(path)
+    return _encoders[kind, path]
