@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, packing, passages, projections, rules, sentencepieces, simhash, suffixes
+from . import classifier, packing, passages, projections, rules, sentencepieces, simhash, suffixes, tokenfiles
 from .common import ship, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,8 @@ def op4_passages(spark: SparkSession, d: str) -> DataFrame:
 def op5_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     coded = sentencepieces.encode_and_decode(table(spark, d, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return coded.select(F.col("doc").alias("doc_id"), "n_ids", "ids_crc32", "round_trip", (F.col("differing_pieces") == 0).alias("parity"))
+
+
+@query
+def op2_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokenfiles.encode_and_read(table(spark, d, "documents"), tokenizer_path()).withColumnRenamed("doc", "doc_id")
