@@ -8,7 +8,18 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, packing, passages, projections, rules, sentencepieces, simhash, suffixes, tokenfiles
+from . import (
+    classifier,
+    counts,
+    packing,
+    passages,
+    projections,
+    rules,
+    sentencepieces,
+    simhash,
+    suffixes,
+    tokenfiles,
+)
 from .common import ship, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +99,8 @@ def op5_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op2_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokenfiles.encode_and_read(table(spark, d, "documents"), tokenizer_path()).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op8_counts(spark: SparkSession, d: str) -> DataFrame:
+    return counts.count_redacted(table(spark, d, "documents"), tokenizer_path()).withColumnRenamed("doc", "doc_id")

@@ -117,7 +117,8 @@ class PieceEncoder:
             self.ids[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
 
-    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of every piece, pieces of each part); new pieces are encoded."""
         keys: list[str] = []
         counts = np.zeros(len(parts), np.int64)
         for n, part in enumerate(parts):
@@ -129,6 +130,10 @@ class PieceEncoder:
         which = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
         if self.index.unseen:
             self._learn()
+        return which, counts
+
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        which, counts = self._numbers(parts)
         sizes = self.sizes[which].astype(np.int64)
         ends = np.cumsum(sizes)
         flat = self.ids[
@@ -137,6 +142,16 @@ class PieceEncoder:
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, np.diff(bounds)
 
+    def piece_counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, ids) of every piece of a text."""
+        pairs = []
+        for part in segments(self._prepared(text)) if text else ():
+            which, _ = self._numbers([part])
+            chars = np.fromiter((len(k) - 1 if " " in k else len(k) + 1 for k in self._keys(part)), np.int64, len(which))
+            pairs.append((chars, self.sizes[which].astype(np.int64)))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (none, none)
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text in turn (null counts as empty)."""
         waiting: list[list[str]] = []
