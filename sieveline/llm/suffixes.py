@@ -7,7 +7,8 @@ identifiers of the buckets at later offsets; each doubling reuses the identifier
 bucket stands for a string over half as long as the ones looked for. Buckets with one suffix are
 done. Where all members of a bucket continue alike, all their strings are repeated; only in the others
 are the strings compared one start at a time. Identifiers are hashes of what they stand for, so that
-every task makes the same ones; two independent 64-bit hashes tell strings apart.
+every task makes the same ones; two independent 64-bit hashes tell strings apart. Before single starts
+are compared, cells of neighbouring starts are refined by the bytes all of their strings hold.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import keyed_text, saved
 
 _STEPS = 3  # doublings from the q-gram to the bucket's string
+CELL = 16  # neighbouring starts that are looked at together
 _SLICE = 1 << 22
 _POSITION = np.uint64((1 << 24) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -89,7 +91,8 @@ def anchored_runs(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     after the anchor, 1 the others; ``bucket`` stands for bytes that all of the run's strings hold, and
     ``whole`` for all bytes of all of them.
     """
-    q = length // 2 // (1 << _STEPS) + 1
+    # So that every string holds the bucket's bytes after its anchor, or before it, or both.
+    q = (length + 1) // ((2 << _STEPS) - 1)
     size, width = q << _STEPS, length - q + 1
     part = list(_slices(texts, length))
     names = ("text", "bucket", "side", "anchor", "near", "far", "whole")
@@ -160,8 +163,14 @@ def _runs(length: int):
     return rows
 
 
-def _strings(length: int):
-    """A row for each string of the runs asked for: its identifier, weight and start."""
+def _cells(length: int):
+    """A row for each cell of the runs asked for.
+
+    A cell is ``CELL`` neighbouring starts. ``core`` stands for the bytes that all of its strings hold;
+    ``edge`` has the bytes on either side of them, so the string that starts ``j`` bytes before the core
+    is told from the others of the cell by the CELL - 1 bytes of the edge from CELL - 1 - j on.
+    """
+    side_bytes = CELL - 1
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -172,16 +181,29 @@ def _strings(length: int):
                 bucket, side, anchor, near, far, n = (
                     np.array([r[c] for r in runs], np.int64) for c in ("bucket", "side", "anchor", "near", "far", "n")
                 )
-                each = far - near + 1
+                each = far // CELL - near // CELL + 1
                 k = np.repeat(np.arange(len(each)), each)
-                before = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + near[k]
-                starts = anchor[k] - before
-                key = mixed(bucket[k].view(np.uint64) + _MIX * (2 * before + side[k]).astype(np.uint64))
-                key = mixed(key * _MIX + hashes(starts, starts + length))
+                grid = (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + near[k] // CELL) * CELL
+                low, high = np.maximum(near[k] - grid, 0), np.minimum(far[k] - grid, side_bytes)
+                base = anchor[k] - grid
+                core = hashes(base, base + length - side_bytes)
+                cell = mixed(bucket[k].view(np.uint64) + _MIX * (2 * grid + side[k]).astype(np.uint64))
+                padded = np.concatenate([np.zeros(CELL, np.uint8), raw, np.zeros(CELL, np.uint8)])
+                at = np.arange(side_bytes)
+                left = padded[(base + CELL - side_bytes)[:, None] + at]
+                left[at[None, :] < (side_bytes - high)[:, None]] = 0
+                right = padded[(base + CELL + length - side_bytes)[:, None] + at]
+                right[at[None, :] >= (side_bytes - low)[:, None]] = 0
+                edge = np.ascontiguousarray(np.concatenate([left, right], axis=1))
+                offsets = np.arange(len(k) + 1, dtype=np.int32) * edge.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * len(k), pa.int64()), pa.array(np.full(len(k), mark)), pa.array(starts),
-                     pa.array(key.view(np.int64)), pa.array(n[k])],
-                    ["doc", "mark", "start", "string", "n"],
+                    [
+                        pa.array([doc] * len(k), pa.int64()), pa.array(np.full(len(k), mark)), pa.array(base),
+                        pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(n[k]),
+                        pa.array(cell.view(np.int64)), pa.array(core.view(np.int64)),
+                        pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(offsets), pa.py_buffer(edge)]),
+                    ],
+                    ["doc", "mark", "base", "low", "high", "n", "cell", "core", "edge"],
                 )
 
     return rows
@@ -253,21 +275,43 @@ def repeated_starts(keyed: DataFrame, length: int) -> DataFrame:
     asked = classes.select(
         "one.doc", "one.mark", F.struct("bucket", "side", "one.anchor", "near", "far", "n").alias("run")
     )
-    strings = saved(
+    cells = saved(
         # A repeated row is asked twice, but its runs have a weight of two or more anyway.
         keyed.where(F.length("body") > 0)
         .join(asked.groupBy("doc", "mark").agg(F.collect_list("run").alias("asked")), ["doc", "mark"])
-        .mapInArrow(_strings(length), "doc long, mark long, start long, string long, n long")
-    )
-    twice = strings.groupBy("string").agg(F.sum("n").alias("total")).where("total > 1").select("string")
-    single = strings.where("n = 1").join(twice, "string", "left_semi")
+        .mapInArrow(
+            _cells(length),
+            "doc long, mark long, base long, low int, high int, n long, cell long, core long, edge binary",
+        )
+    )
+    kinds = saved(cells.groupBy("cell", "core", "low", "high", "edge").agg(F.sum("n").alias("n")))
+    single = cells.where("n = 1")
+    sure = single.join(kinds.where("n > 1").drop("n"), ["cell", "core", "low", "high", "edge"], "left_semi")
+    # Where cells with one core differ at their edges, their strings are compared one by one.
+    mixed_cores = kinds.groupBy("cell", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("cell", "core")
+
+    def strings(df: DataFrame, *columns: str) -> DataFrame:
+        piece = F.expr(f"substring(edge, {CELL} - j, {CELL - 1})")
+        return (
+            df.join(mixed_cores, ["cell", "core"], "left_semi")
+            .select(*columns, "cell", "core", "edge", F.explode(F.sequence("low", "high")).alias("j"))
+            .select(*columns, "cell", "core", "j", piece.alias("piece"))
+        )
+
+    string = ["cell", "core", "j", "piece"]
+    twice = strings(kinds, "n").groupBy(*string).agg(F.sum("n").alias("n")).where("n > 1").select(*string)
+    lone = single.join(kinds.where("n = 1").drop("n"), ["cell", "core", "low", "high", "edge"], "left_semi")
+    found = strings(lone, "doc", "mark", "base").join(twice, string, "left_semi")
 
-    def ranges(df: DataFrame) -> DataFrame:
-        low, high = F.col("anchor") - F.col("far"), F.col("anchor") - F.col("near")
+    def ranges(df: DataFrame, low, high) -> DataFrame:
         return df.select("doc", "mark", low.alias("low"), high.alias("high"))
 
+    anchor, base = F.col("anchor"), F.col("base")
     return (
-        ranges(alike).union(ranges(several)).union(single.select("doc", "mark", F.col("start").alias("low"), F.col("start").alias("high")))
+        ranges(alike, anchor - F.col("far"), anchor - F.col("near"))
+        .union(ranges(several, anchor - F.col("far"), anchor - F.col("near")))
+        .union(ranges(sure, base - F.col("high"), base - F.col("low")))
+        .union(ranges(found, base - F.col("j"), base - F.col("j")))
     )
 
 
@@ -281,6 +325,8 @@ def remove_repeats(
     ``length`` bytes keeps all. Repeated rows are places of their own, so both lose what they share.
     Rows with a null id are handled like others. Other columns are not read.
     """
+    if length < 2 * CELL:
+        raise ValueError(f"strings of at least {2 * CELL} bytes can be looked for")
     no_id = F.lit(-(1 << 63)).cast("long")
     keyed = keyed_text(docs, id_col, text_col).select(
         F.coalesce(F.col("doc").cast("long"), no_id).alias("doc"), F.xxhash64("body").alias("mark"), "body"
