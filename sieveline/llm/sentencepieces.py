@@ -173,7 +173,10 @@ class SentencePieceEncoder(PieceEncoder):
         found = super()._ids(pieces)
         # The reference adds the marker in front itself.
         plain = [piece[1:] if self.split and piece[:1] == " " else piece for piece in pieces]
+        marker = [self.reference.piece_to_id(MARKER)]
         for n, ids in enumerate(self.reference.encode(plain)):
+            if self.split and pieces[n] == " ":  # a marker alone, which no text of its own gives
+                ids = marker
             if ids != found[n]:
                 self.differing += 1
                 found[n] = ids
