@@ -31,9 +31,31 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("body"))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Write an intermediate into the shared folder once and go on from its files."""
-    return cut(df)
+    """Write an intermediate into the shared folder once and go on from its files.
+
+    The shuffle files behind it are not needed after that, so Spark may drop them at once.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        out = cut(df)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that ``saved`` wrote, once everything made of them has been saved too."""
+    for df in written:
+        spark = df.sparkSession
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(name: str) -> str:

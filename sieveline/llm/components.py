@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def _star(edges: DataFrame, lowest: DataFrame) -> DataFrame:
@@ -45,4 +45,7 @@ def components(links: DataFrame) -> DataFrame:
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         state = tuple(found)
-        edges = saved(_small(saved(_large(edges))))
+        starred = saved(_large(edges))
+        discard(edges)
+        edges = saved(_small(starred))
+        discard(starred)
