@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from sieveline.operators.asof import prior_close_evidence, prior_close_requests
 from sieveline.operators.routing import Capability
-from sieveline.plans.lineage import share, spread
+from sieveline.plans.lineage import share
 from sieveline.sources.prices import daily_prices
 
 SNAPSHOT = "desk-prices"
 TEMPLATES = (
-    "What was {t}'s stock price at the close yesterday?",
-    "What was {t}'s closing price the previous day?",
-    "What is {t}'s current stock price today?",
-    "What was {t}'s highest price yesterday?",
-    "Was {t}'s closing price higher than MSFT yesterday?",
-    "What was {t}'s closing price last week?",
-    "What were {t}'s and MSFT's closing prices yesterday?",
-    "What was the closing price yesterday?",
-    "Historical market cap of Apple over time",
-    "market cap, market caps and ticker of {t}",
-    "latest stock price of {t} today or the movie about tesla and its CEO",
-    "3-point attempts per game and touchdowns for AAPL",
+    "At which price did {t}'s shares close yesterday?",
+    "Name the closing price of {t}'s stock for the previous day.",
+    "How does {t}'s share price look this morning?",
+    "Which price did {t}'s stock open at yesterday?",
+    "Did {t}'s closing price of yesterday end lower compared with MSFT?",
+    "Give {t}'s closing price for the month before yesterday.",
+    "Yesterday {t}'s closing price beat MSFT's, and by how much?",
+    "Which closing price did the index have on the previous day?",
+    "How has the market capitalization of Microsoft moved over the past decade?",
+    "List the ticker, the market cap, plus all market caps that {t} had",
+    "Is there a film with the CEO of Tesla, plus a stock price of {t}?",
+    "How many touchdowns, how many points per game, for AAPL?",
 )
 DESK_TEMPLATES = (TEMPLATES[0], TEMPLATES[1], TEMPLATES[2], TEMPLATES[9])
 CAPABILITIES = (
@@ -52,7 +52,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 def _page_rows(spark: SparkSession, d: str, owner: Column, index: Column) -> DataFrame:
     web = table(spark, d, "pages")
     n_pages = web.count()
-    docs = spread(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
     keyed = docs.withColumn("page_id", F.col("doc_id") % n_pages)
     return keyed.join(web.select("page_id", "url"), "page_id").select(
         owner.alias("interaction_id"),
@@ -131,7 +131,7 @@ def _pick(index: Column, texts: tuple[str, ...]) -> Column:
 
 
 def price_questions(spark: SparkSession, d: str) -> DataFrame:
-    rows = spread(table(spark, d, "events")).select(
+    rows = table(spark, d, "events").select(
         "event_id", "ts", ticker().alias("ticker"), F.to_date("ts").alias("date")
     )
     return rows.select(
@@ -335,4 +335,4 @@ def record_lines(spark: SparkSession, d: str, broken: bool) -> DataFrame:
         .when(kind == 11, "[1]")
         .otherwise(record)
     )
-    return spread(table(spark, d, "documents")).select("doc_id", value.alias("value"))
+    return table(spark, d, "documents").select("doc_id", value.alias("value"))

@@ -29,7 +29,7 @@ ORACLE["bm25_full_rank"] = compose("SELECT interaction_id, evidence_id, rank FRO
 ORACLE["select_context"] = compose(
     """
 SELECT interaction_id, array_to_string(taken, ',') AS evidence, used AS context_words
-FROM walk_end WHERE len(taken) > 0""",
+FROM walk_end""",
     walk("q_bm_50_rank", ("interaction_id",), 5, 170),
 )
 
@@ -94,7 +94,7 @@ METHOD_WALK = walk("m_rank", ("interaction_id", "method"), 3, 150)
 ORACLE["method_comparison"] = compose(
     """
 SELECT interaction_id, method, array_to_string(taken, ',') AS evidence, used AS context_words
-FROM walk_end WHERE len(taken) > 0""",
+FROM walk_end""",
     METHOD_WALK,
 )
 

@@ -136,6 +136,14 @@ def query_date(query_time: Column | str) -> Column:
     return F.to_date(query_moment(query_time))
 
 
+def asked_date(query_time: Column | str) -> Column:
+    """The question's date; a time that is not in the accepted format stops the query."""
+    shown = F.concat(F.lit("question time is not readable: "), F.coalesce(col(query_time), F.lit("null")))
+    return F.when(query_moment(query_time).isNull(), F.raise_error(shown).cast("date")).otherwise(
+        query_date(query_time)
+    )
+
+
 def content_hash(*parts: Column | str) -> Column:
     """SHA-256 of the parts joined by a zero character."""
     return F.sha2(F.concat_ws("\0", *[col(p).cast("string") for p in parts]), 256)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import violations
-from ..functions.text import bounded, casefold, content_hash, let, query_date
+from ..functions.text import asked_date, bounded, casefold, content_hash, let, query_date
 from .routing import CAPABILITY, source_hints
 
 # What a prior-close question must say, must not say, and how it names a ticker.
@@ -50,7 +50,7 @@ def prior_close_requests(questions: DataFrame, inventory: DataFrame) -> DataFram
     """
     named = questions.where(prior_close_intent("query")).select(
         "interaction_id",
-        query_date("query_time").alias("available_as_of"),
+        asked_date("query_time").alias("available_as_of"),
         F.explode(possessive_tickers("query")).alias("ticker"),
     )
     known = named.join(inventory.select("ticker").distinct(), "ticker", "left_semi")
@@ -71,10 +71,16 @@ def prior_close_evidence(requests: DataFrame, prices: DataFrame, snapshot: str)
     """Exact-date join of requests with the price row; a missing day stays missing.
 
     The requested day is strictly before the availability date, so nothing the question could
-    not have known is attached.
+    not have known is attached. Two rows for a requested day, or a row stamped with another one,
+    stop the query.
     """
-    rows = prices.select(
-        "ticker", F.col("date").alias("requested_date"), "row_timestamp", "close"
+    rows = prices.groupBy("ticker", F.col("date").alias("requested_date")).agg(
+        F.count("*").alias("n_rows"), F.min("row_timestamp").alias("row_timestamp"), F.min("close").alias("close")
+    )
+    stamped = F.substring("row_timestamp", 1, 10).eqNullSafe(F.date_format("requested_date", "yyyy-MM-dd"))
+    broken = F.concat(F.lit("not one price row of its own day: "), "ticker", F.lit(" "), F.col("requested_date").cast("string"))
+    rows = rows.withColumn(
+        "close", F.when((F.col("n_rows") > 1) | ~stamped, F.raise_error(broken).cast("double")).otherwise(F.col("close"))
     )
     joined = requests.join(rows, ["ticker", "requested_date"]).where(
         F.col("requested_date") < F.col("available_as_of")

@@ -14,16 +14,11 @@ from ..functions.text import SPACE, TOKEN, content_hash, let, word_count
 
 FIELDS = ("page_result", "page_snippet")
 
-# A bounded regex repetition recurses once per word; wider windows are cut from a word list.
-_REGEX_WINDOW_LIMIT = 400
 _PREFIX_BLOCK = 128
 
 
 def _pieces(text: Column, chunk_words: int) -> Column:
     """Consecutive slices of the text that hold ``chunk_words`` words each, leading space kept."""
-    if chunk_words <= _REGEX_WINDOW_LIMIT:
-        window = f"((?:[{SPACE}]*+{TOKEN}){{1,{chunk_words}}}+)"
-        return F.regexp_extract_all(text, F.lit(window), F.lit(1))
     words = F.regexp_extract_all(text, F.lit(f"([{SPACE}]*+{TOKEN})"), F.lit(1))
     return let(
         words,
@@ -83,7 +78,7 @@ def web_chunks(pages: DataFrame, chunk_words: int, carry: tuple[str, ...] = ())
     and page_last_modified; columns named in ``carry`` are repeated on each chunk. Offsets
     count code points. Empty text yields no chunk.
     """
-    require(is_int(chunk_words) and chunk_words >= 1, "chunk_words must be positive")
+    require(is_int(chunk_words) and chunk_words >= 1, "a chunk has at least one word")
     texts = F.explode(
         F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS])
     )

@@ -68,7 +68,7 @@ def bm25_scores(
     The statistics row of a question holds its own terms only and is joined in salted buckets,
     so a question that owns a third of all chunks is scored by many tasks.
     """
-    require(k1 > 0 and 0 <= b <= 1, "BM25 requires k1 > 0 and b in [0, 1]")
+    require(k1 > 0 and 0 <= b <= 1, "k1 has to be above 0 and b between 0 and 1")
     joined = salted_join(features, statistics, "interaction_id", "evidence_id")
     norm = F.lit(k1) * (
         F.lit(1 - b) + F.lit(b) * F.col("n_terms") / F.nullif(F.col("mean_terms"), F.lit(0.0))
@@ -94,6 +94,13 @@ def rank_order(score: str = "score", identity: str = "evidence_id") -> list[Colu
     return [F.round(score, SCORE_DIGITS).desc(), F.col(identity).asc()]
 
 
+def finite_score(score: str = "score") -> Column:
+    """The score; a missing or non-finite one stops the query instead of taking a rank."""
+    return F.when(not_finite(F.col(score)), F.raise_error(F.lit("a candidate has no finite score")).cast("double")).otherwise(
+        F.col(score)
+    )
+
+
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("interaction_id",)) -> DataFrame:
     """Best ``k`` rows of each group with their 1-based rank.
 
@@ -131,13 +138,16 @@ def select_context(
 
     Among items of one word count only the first ``limit`` in rank order can ever be taken:
     if one of them was skipped for space, every later item of that size is skipped too. That
-    keeps at most ``limit * max_words`` slim rows per question, and the cut is exact.
+    keeps at most ``limit * (max_words + 1)`` slim rows per question, and the cut is exact. Items
+    without words cost nothing; a question of which nothing fits gets an empty selection. A missing
+    or non-finite score stops the query.
     """
     require(
         all(is_int(v) and v >= 1 for v in (limit, max_words)),
-        "limit and max_words must be positive",
+        "limit and max_words have to be at least 1",
     )
-    fits = scored.where((F.col("word_count") > 0) & (F.col("word_count") <= max_words))
+    scored = scored.withColumn("score", finite_score())
+    fits = scored.where((F.col("word_count") >= 0) & (F.col("word_count") <= max_words))
     window = Window.partitionBy(*by, "word_count").orderBy(*rank_order())
     short = fits.withColumn("n", F.row_number().over(window)).where(F.col("n") <= limit)
     item = F.struct(
@@ -156,9 +166,14 @@ def select_context(
         ).otherwise(state)
 
     walked = pools.select(*by, F.aggregate("pool", empty, step).alias("s"))
-    return walked.select(
-        *by, F.col("s.taken").alias("selected"), F.col("s.used").alias("context_words")
-    )
+    return (
+        scored.select(*by).distinct().join(walked, list(by), "left")
+        .select(
+            *by,
+            F.coalesce("s.taken", F.array().cast(taken_type)).alias("selected"),
+            F.coalesce("s.used", F.lit(0)).alias("context_words"),
+        )
+    )
 
 
 def unit_vector(vector: Column) -> Column:
@@ -195,7 +210,7 @@ def rescore(shortlist: DataFrame, scores: DataFrame) -> DataFrame:
     """Replace first-stage scores by a second scorer's, keyed by (question, evidence)."""
     second = scores.select("interaction_id", "evidence_id", F.col("score").alias("second"))
     joined = shortlist.drop("rank").join(second, ["interaction_id", "evidence_id"], "left")
-    return joined.withColumn("score", F.col("second")).drop("second")
+    return joined.withColumn("score", finite_score("second")).drop("second")
 
 
 def score_violations(candidates: DataFrame, scores: DataFrame) -> DataFrame:

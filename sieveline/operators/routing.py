@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import is_int, require, violations
-from ..functions.text import bounded, casefold, let, query_date, query_moment
+from ..functions.text import asked_date, bounded, casefold, let, query_date, query_moment
 
 POLICIES = ("fixed_web", "all_available", "adaptive")
 CAPABILITY = "array<struct<name:string,available:boolean,requires_as_of:boolean,as_of_date:date>>"
@@ -53,7 +53,7 @@ def capability_array(capabilities: Sequence[Capability]) -> Column:
     names = [c.name for c in capabilities]
     require(
         len(set(names)) == len(names) and "web" in names,
-        "unique capabilities including web are required",
+        "capability names must differ and one must be web",
     )
     rows = [
         F.struct(
@@ -95,10 +95,13 @@ def source_hints(query: Column | str) -> Column:
 
 
 def gate(capabilities: Column, asked: Column) -> Column:
-    """(name, reason) per capability; a null reason means eligible on the question's date."""
+    """(name, reason) per capability; a null reason means eligible on the question's date.
+
+    Without a readable date no dated source is eligible.
+    """
 
     def judged(c: Column, day: Column) -> Column:
-        late = c["requires_as_of"] & (c["as_of_date"] != day)
+        late = c["requires_as_of"] & ~c["as_of_date"].eqNullSafe(day)
         return F.struct(
             c["name"].alias("name"),
             F.when(~c["available"], "unavailable")
@@ -152,17 +155,26 @@ def route(
     reserved: int | Column,
     policies: Sequence[str] = POLICIES,
     carry: tuple[str, ...] = (),
+    strict: bool = True,
 ) -> DataFrame:
     """One plan per question and policy.
 
+    A question whose time is not readable stops the query; with ``strict=False`` it only loses its
+    dated sources, and ``question_violations`` reports it.
+
     ``capabilities`` is a short list for all questions or a column with each question's own.
     ``reserved`` may be a column when every question reserves its own prompt.
     """
     require(set(policies) <= set(POLICIES), "unknown routing policy")
-    require(is_int(total_budget), "budgets must be integers")
-    if not isinstance(reserved, Column):
-        require(is_int(reserved), "budgets must be integers")
-        require(0 <= reserved < total_budget, "reserve must leave a positive evidence budget")
+    require(is_int(total_budget), "the total budget has to be a whole number")
+    if isinstance(reserved, Column):
+        unfit = F.coalesce((reserved < 0) | (reserved >= total_budget), F.lit(True))
+        reserved = F.when(
+            unfit, F.raise_error(F.lit("a question's reserve takes the whole budget")).cast("int")
+        ).otherwise(reserved)
+    else:
+        require(is_int(reserved), "the reserve has to be a whole number")
+        require(0 <= reserved < total_budget, "the reserve takes the whole budget")
         reserved = F.lit(reserved)
     if not isinstance(capabilities, Column):
         capabilities = capability_array(capabilities)
@@ -170,7 +182,7 @@ def route(
         "interaction_id",
         *carry,
         source_hints("query").alias("hints"),
-        gate(capabilities, query_date("query_time")).alias("gate"),
+        gate(capabilities, (asked_date if strict else query_date)("query_time")).alias("gate"),
         reserved.cast("int").alias("reserved_tokens"),
     )
     names = lambda rows: F.transform(rows, lambda r: r["name"])

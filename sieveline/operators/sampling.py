@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import ValidationError, is_int, require
+from ..functions.rules import ValidationError, is_int, require, require_none, violations
 from ..functions.text import canonical_url, content_hash, is_blank, question_key
 from ..plans.lineage import cut
 
@@ -29,8 +29,13 @@ def exposed_ids(artifacts: DataFrame, value: str = "value") -> DataFrame:
     """Distinct question ids found at any depth of JSON artifacts.
 
     Each pass opens one nesting level of all artifacts together and keeps only the containers
-    for the next, so the number of passes is the JSON depth, not the number of nodes.
+    for the next, so the number of passes is the JSON depth, not the number of nodes. An artifact
+    that is null or not JSON, or repeats a key, stops the query: a ledger may not lose ids.
     """
+    unread = F.try_parse_json(value).isNull()
+    require_none(violations(artifacts, F.substring(F.coalesce(value, F.lit("null")), 1, 80), [
+        ("artifact_not_json", unread, F.lit("cannot be read"))
+    ]))
     text = lambda v: F.try_variant_get(v, "$", "string")
     kind = lambda v: F.schema_of_variant(v)
     level = artifacts.select(F.try_parse_json(value).alias("node"))
@@ -107,104 +112,109 @@ def _earliest_independent(edges: DataFrame) -> DataFrame:
     return kept
 
 
+def position_at(rows: DataFrame, rank: int) -> str | None:
+    """The ``rank``-th smallest ``position`` (hexadecimal digests), or null if there are fewer.
+
+    Digits are fixed four at a time from counts of at most 65,536 beginnings, until few digests
+    are left; no task sorts more than those.
+    """
+    begin = ""
+    while True:
+        at = len(begin) + 1
+        counts = (
+            rows.where(F.col("position").startswith(begin))
+            .groupBy(F.substring("position", at, 4).alias("next")).count().orderBy("next").collect()
+        )
+        for row in counts:
+            if row["count"] >= rank:
+                break
+            rank -= row["count"]
+        else:
+            return None
+        begin += row["next"]
+        if row["count"] <= 4096 or len(begin) >= 64:
+            last = rows.where(F.col("position").startswith(begin)).select("position").collect()
+            return sorted(r.position for r in last)[rank - 1]
+
+
 def sample_disjoint(
-    questions: DataFrame,
-    pages: DataFrame,
-    excluded: DataFrame,
-    seed: str,
-    size: int,
-    growth: int = 4,
+    questions: DataFrame, pages: DataFrame, excluded: DataFrame, seed: str, size: int
 ) -> Sample:
     """First ``size`` questions in seeded order that share nothing with each other or the past.
 
-    Only a prefix of the order can matter. The prefix starts at a few times the sample size
-    and grows until the sample is full, so the conflict rounds run on that prefix while the
-    large tables are only scanned. Raises when the whole set cannot fill the sample.
+    Pages and questions are read once and shrink to digests; conflicts are resolved in rounds over
+    those slim edges of all questions, and the sample is cut at the position of its last question.
+    Raises when the whole set cannot fill the sample.
     """
-    require(is_int(size) and size >= 1, "size must be positive")
-    order = questions.select(
-        "interaction_id",
-        shuffle_key(seed).alias("position"),
-        F.sha2(question_key("query"), 256).alias("text"),
+    require(is_int(size) and size >= 1, "a sample has at least one question")
+    digest = lambda c: F.sha2(c, 256)
+    order = cut(
+        questions.select(
+            "interaction_id", shuffle_key(seed).alias("position"), digest(question_key("query")).alias("text")
+        )
     )
     past = excluded.select("interaction_id").distinct()
-    unknown = past.join(questions, "interaction_id", "left_anti").take(1)
+    unknown = past.join(order, "interaction_id", "left_anti").take(1)
     if unknown:
         raise ValidationError(f"excluded id is not a known question: {unknown[0][0]}")
-    texts = order.join(past, "interaction_id", "left_semi").select("text").distinct()
-    urls = (
-        pages.join(past, "interaction_id", "left_semi")
-        .select(canonical_url("page_url").alias("url"))
-        .where("url is not null")
-        .distinct()
+    known = order.select("interaction_id")
+    sheets = cut(
+        pages.select(
+            "interaction_id",
+            digest(canonical_url("page_url")).alias("url"),
+            F.coalesce(~is_blank("page_result") | ~is_blank("page_snippet"), F.lit(False)).alias("has_text"),
+        ).join(known, "interaction_id", "left_semi")
     )
-    total = questions.count()
-    length = size * growth
-    while True:
-        short = order.orderBy("position", "interaction_id").limit(length)
-        prefix = cut(short if length < total else order)
-        own = pages.join(prefix.select("interaction_id"), "interaction_id", "left_semi")
-        links = (
-            own.select("interaction_id", canonical_url("page_url").alias("url"))
-            .where("url is not null")
-            .distinct()
-        )
-        filled = own.groupBy("interaction_id").agg(
-            F.bool_or(~is_blank("page_result") | ~is_blank("page_snippet")).alias("has_text")
-        )
-        flag = lambda df, name: df.select("interaction_id").distinct().withColumn(
-            name, F.lit(True)
-        )
-        yes = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-        state = cut(
-            prefix.join(flag(past, "prior"), "interaction_id", "left")
-            .join(flag(links, "has_url"), "interaction_id", "left")
-            .join(texts.withColumn("old_text", F.lit(True)), "text", "left")
-            .join(flag(links.join(urls, "url", "left_semi"), "old_url"), "interaction_id", "left")
-            .join(filled, "interaction_id", "left")
-            .select(
-                "interaction_id", "position", "text", yes("prior"), yes("has_url"),
-                yes("old_text"), yes("old_url"), yes("has_text"),
-            )
-        )
-        open_ = state.where("not prior and has_url and not old_text and not old_url and has_text")
-        url_edges = links.join(open_, "interaction_id").select(
-            "interaction_id", "position", F.concat(F.lit("u:"), "url").alias("key")
-        )
-        text_edges = open_.select(
-            "interaction_id", "position", F.concat(F.lit("t:"), "text").alias("key")
+    links = sheets.where("url is not null").select("interaction_id", "url").distinct()
+    texts = order.join(past, "interaction_id", "left_semi").select("text").distinct()
+    urls = links.join(past, "interaction_id", "left_semi").select("url").distinct()
+    flags = ("has_url", "has_text", "prior", "old_url")
+
+    def marked(df: DataFrame, **found: Column) -> DataFrame:
+        return df.select("interaction_id", *[found.get(f, F.lit(False)).alias(f) for f in flags])
+
+    noted = (
+        marked(sheets, has_url=F.col("url").isNotNull(), has_text=F.col("has_text"))
+        .unionByName(marked(past, prior=F.lit(True)))
+        .unionByName(marked(links.join(urls, "url", "left_semi"), old_url=F.lit(True)))
+        .groupBy("interaction_id").agg(*[F.bool_or(f).alias(f) for f in flags])
+    )
+    state = cut(
+        order.join(noted, "interaction_id", "left")
+        .join(texts.withColumn("old_text", F.lit(True)), "text", "left")
+        .select(
+            "interaction_id", "position", "text",
+            *[F.coalesce(f, F.lit(False)).alias(f) for f in (*flags, "old_text")],
         )
-        edges = cut(url_edges.unionByName(text_edges))
-        kept = _earliest_independent(edges)
-        if kept is not None and kept.count() >= size:
-            break
-        if length >= total:
-            raise ValidationError("not enough source-disjoint questions")
-        length *= growth
-    chosen = cut(kept.orderBy("position").limit(size))
-    last = chosen.agg(F.max("position").alias("last"))
-    scanned = state.join(last, F.col("position") <= F.col("last")).drop("last")
+    )
+    open_ = state.where("not prior and has_url and not old_text and not old_url and has_text")
+    key = lambda kind, c: F.concat(F.lit(kind), c).alias("key")
+    edges = cut(
+        links.join(open_, "interaction_id").select("interaction_id", "position", key("u:", "url"))
+        .unionByName(open_.select("interaction_id", "position", key("t:", "text")))
+    )
+    kept = _earliest_independent(edges)
+    last = None if kept is None else position_at(kept, size)
+    if last is None:
+        raise ValidationError("the questions left do not fill a source-disjoint sample")
+    chosen = cut(kept.where(F.col("position") <= last))
+    scanned = state.where(F.col("position") <= last)
     taken = (
         edges.join(chosen.select("interaction_id"), "interaction_id", "left_semi")
         .select("key", F.col("position").alias("taken_at"))
     )
-    blocked_by = lambda prefix_, source: (
-        source.join(taken, "key")
-        .where(F.col("taken_at") < F.col("position"))
-        .select("interaction_id")
-        .distinct()
-        .withColumn(prefix_, F.lit(True))
-    )
-    all_texts = state.select(
-        "interaction_id", "position", F.concat(F.lit("t:"), "text").alias("key")
-    )
-    all_urls = links.join(state.select("interaction_id", "position"), "interaction_id").select(
-        "interaction_id", "position", F.concat(F.lit("u:"), "url").alias("key")
-    )
-    judged = (
-        scanned.join(blocked_by("new_text", all_texts), "interaction_id", "left")
-        .join(blocked_by("new_url", all_urls), "interaction_id", "left")
-        .join(chosen.select("interaction_id", F.lit(True).alias("chosen")), "interaction_id", "left")
+    here = scanned.select("interaction_id", "position", "text")
+    used = (
+        here.select("interaction_id", "position", key("t:", "text"))
+        .unionByName(links.join(here, "interaction_id").select("interaction_id", "position", key("u:", "url")))
+        .join(taken, "key").where(F.col("taken_at") < F.col("position"))
+        .groupBy("interaction_id").agg(
+            F.bool_or(F.col("key").startswith("t:")).alias("new_text"),
+            F.bool_or(F.col("key").startswith("u:")).alias("new_url"),
+        )
+    )
+    judged = scanned.join(used, "interaction_id", "left").join(
+        chosen.select("interaction_id", F.lit(True).alias("chosen")), "interaction_id", "left"
     )
     true = lambda c: F.coalesce(F.col(c), F.lit(False))
     reason = (

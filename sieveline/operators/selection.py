@@ -1,9 +1,9 @@
 """Evidence-set selection under a shared context budget.
 
-A problem is one row per question: a candidate pool of at most 14 items (cut by rank before
-any pair is formed) with support vectors and pair features. Since the pool is bounded, greedy
-rounds and the exhaustive search run inside the row; questions never exchange data and the
-work is a narrow map over however many questions there are.
+A problem is one row per question: a candidate pool (cut by rank before any pair is formed)
+with support vectors and pair features. Greedy rounds and the exhaustive search run inside the
+row; questions never exchange data and the work is a narrow map over however many questions
+there are. The exhaustive search refuses pools of more than 14 items.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ class Weights:
 
     def __post_init__(self) -> None:
         for value in vars(self).values():
-            require(0 <= value < float("inf"), "weights must be finite and nonnegative")
+            require(0 <= value < float("inf"), "no weight may be negative or infinite")
 
 
 # ---- features -------------------------------------------------------------------------
@@ -56,8 +56,8 @@ def jaccard(left: Column, right: Column) -> Column:
 def problems(pool: DataFrame, questions: DataFrame) -> DataFrame:
     """One row per question from a ranked pool.
 
-    ``pool``: interaction_id, evidence_id, content, source_kind, source_ref, relevance, at
-    most ``MAX_POOL`` rows per question. Questions without candidates keep an empty pool.
+    ``pool``: interaction_id, evidence_id, content, source_kind, source_ref, relevance,
+    a few rows per question (``exact`` takes up to ``MAX_POOL``). Questions without candidates keep an empty pool.
     Similarity is the Jaccard index of the term sets; no conflicts are predicted.
     """
     asked = questions.select("interaction_id", requirements("query").alias("requirements"))
@@ -115,7 +115,6 @@ def problem_violations(rows: DataFrame) -> DataFrame:
     )
     bad_pair = lambda m: F.exists(m, lambda row: F.exists(row, not_unit))
     rules = [
-        ("pool_too_large", F.size("candidates") > MAX_POOL, F.size("candidates")),
         ("no_requirements", n < 1, n),
         ("repeated_requirement", F.size(F.array_distinct("requirements")) != n, n),
         ("empty_requirement", F.array_contains("requirements", ""), n),
@@ -426,18 +425,23 @@ def select(
     """Run one selector; one result row per problem.
 
     Options compare by (largest gain, lowest cost, id order), so the outcome does not depend
-    on row order. ``exact`` maximises the objective over all affordable subsets.
+    on row order. ``exact`` maximises the objective over all affordable subsets and refuses pools of
+    more than ``MAX_POOL`` candidates.
     """
     weights = weights or Weights()
-    require(method in METHODS, "unknown selector")
-    require(is_int(budget) and is_int(max_items), "budget and max_items must be integers")
-    require(budget >= 1 and max_items >= 1, "budget and max_items must be positive")
+    require(method in METHODS, "no selector of that name")
+    require(is_int(budget) and is_int(max_items), "budget and max_items have to be whole numbers")
+    require(budget >= 1 and max_items >= 1, "budget and max_items have to be at least 1")
     require(0 <= mmr_lambda <= 1, "mmr_lambda must be in [0, 1]")
     inner = [c for c in rows.columns if c not in ("interaction_id", *carry)]
 
     def solve(problem: Column) -> Column:
         if method == "exact":
-            chosen = _exact(problem, budget, max_items, weights, cost)
+            size = F.size(problem["candidates"])
+            refused = F.raise_error(F.concat(F.lit("too many candidates for exact: "), size.cast("string")))
+            chosen = F.when(size > MAX_POOL, refused.cast("array<int>")).otherwise(
+                _exact(problem, budget, max_items, weights, cost)
+            )
         else:
             chosen = _greedy(problem, method, budget, max_items, weights, cost, mmr_lambda)
         return let(

@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _shared: list[DataFrame] = []
+_written: weakref.WeakKeyDictionary[SparkSession, list[str]] = weakref.WeakKeyDictionary()
 
 
 def _folder(spark: SparkSession) -> str:
-    """The reliable folder the cluster names; only a session without one gets a scratch folder."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A session whose driver is its only executor may go without one and gets a folder of its own;
+    on a cluster every executor would write to another disk, so there it is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sieveline-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -23,14 +32,21 @@ def _folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the checkpoint folder and continue from its files.
 
-    The rows are computed once, and later rounds start from the files.
+    The rows are computed once, and later rounds start from the files. ``release`` deletes them.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder from whatever store it is in."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` with its partition layout, for plans that rely on partition numbers.
 
@@ -54,21 +70,13 @@ def share(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Drop everything ``share`` kept for this session."""
+    """Drop everything ``share`` kept and ``cut`` wrote for this session; results must be read by then."""
     for df in _shared[:]:
         if df.sparkSession is spark:
             df.unpersist()
             _shared.remove(df)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Split a scan that has fewer input splits than the session has cores.
-
-    A single small file is one task; a table of many row groups is left as it is, so nothing
-    is shuffled where the scan already runs in parallel.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    for path in _written.pop(spark, []):
+        delete(spark, path)
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:

@@ -106,7 +106,7 @@ def fingerprint(rows: DataFrame, digest: Column | None = None) -> DataFrame:
     """
     digest = row_hash(rows) if digest is None else digest
     words = [
-        F.sum(F.conv(F.substring(F.col("h"), 8 * i + 1, 8), 16, 10).cast("long"))
+        F.sum(F.conv(F.substring(F.col("h"), 8 * i + 1, 8), 16, 10).cast("decimal(38,0)"))
         for i in range(8)
     ]
     summed = rows.select(digest.alias("h")).agg(
