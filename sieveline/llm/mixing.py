@@ -5,8 +5,12 @@ by side: in every step each lane codes its next id, and then all lanes' ids upda
 work of a step is done on arrays. The model predicts one id from the last two ids (order 2), one from
 the last id (order 1), and has the counts of all ids (order 0). The chances that the order-2 and the
 order-1 id are right are mixed from the three orders in the logistic domain, with weights that are
-learned on the way; any other id is coded by its count. Everything is integer arithmetic or exactly
-rounded, so that a reader does the same sums as the writer; every block starts afresh.
+learned on the way; any other id is coded by its count.
+
+What the orders say is a small number of states: how often each prediction was right of late, whether
+the two agree, and how frequent the predicted id is. Chances are mixed once for each state, not for each
+id, and the weights learn from the numbers of right and wrong predictions in each state. All sums are of
+whole numbers, so a reader does exactly what the writer did; every block starts afresh.
 """
 
 from __future__ import annotations
@@ -17,20 +21,31 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"SLM1"
+MAGIC = b"SLM2"
 HEADER = struct.Struct("<4sIQIIIII")  # magic, documents, ids, alphabet, lanes, steps, CRC of ids, CRC of the rest
 LANES = 8192
 STEPS = 128  # least ids in a lane where there are enough of them
 _SLOTS = 20  # bits of the order-2 table
-_TOP, _BOTTOM, _WORD = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64((1 << 56) - 1)
+_SCALE = 22  # bits of the range that ids not predicted are dealt
 _U = np.uint64
+_TOP, _BOTTOM, _WORD = _U(1 << 48), _U(1 << 40), _U((1 << 56) - 1)
+_LEVELS = 8  # classes of an id's frequency, for prediction
 
 # Chances are in 1/4096, their logits in 1/256.
 _STRETCH = np.array([0] + [round(256 * math.log(p / (4096 - p))) for p in range(1, 4096)], np.int64)
 _REACH = 2047
 _SQUASH = np.array(
-    [min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-_REACH, _REACH + 1)], np.int64
+    [min(4088, max(8, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-_REACH, _REACH + 1)], np.int64
 )
+_LEVEL_LOGIT = np.array([_STRETCH[max(1, min(4095, 1 << (k + 2)))] for k in range(_LEVELS)], np.int64)
+# A state is (order-2 trust, order-1 trust, agreement, level of the order-2 id).
+_STATES = 16 * 16 * 2 * _LEVELS
+_STATE = np.arange(_STATES)
+_T2, _T1, _AGREE, _LEVEL = _STATE >> 8, _STATE >> 4 & 15, _STATE >> 3 & 1, _STATE & 7
+
+
+def _squash(x: np.ndarray) -> np.ndarray:
+    return _SQUASH[np.clip(np.rint(x), -_REACH, _REACH).astype(np.int64) + _REACH]
 
 
 class _Model:
@@ -38,72 +53,100 @@ class _Model:
 
     def __init__(self, alphabet: int) -> None:
         self.alphabet = alphabet
-        self.second = np.zeros(1 << _SLOTS, np.int32)
-        self.second_trust = np.zeros(1 << _SLOTS, np.uint8)
-        self.first = np.zeros(alphabet, np.int32)
-        self.first_trust = np.zeros(alphabet, np.uint8)
+        # Predicted id and trust in it, as id * 16 + trust.
+        self.second = np.zeros(1 << _SLOTS, np.int64)
+        self.first = np.zeros(alphabet, np.int64)
         self.right2 = np.array([200 + 240 * k for k in range(16)], np.int64)
         self.right1 = np.array([200 + 240 * k for k in range(16)], np.int64)
         # Weights for a disagreeing and an agreeing order-1 id, and for the order-1 id alone.
         self.weights = np.array([[0.9, 0.3, 0.1], [0.7, 0.6, 0.1]])
         self.alone = np.array([0.9, 0.1])
         self.counts = np.zeros(alphabet, np.int64)
+        self.met = np.zeros((2, _STATES), np.int64)
+        self.met1 = np.zeros((2, 16 * _LEVELS), np.int64)
+        self.recent: list[np.ndarray] = []
         self.step = 0
         self._rank()
+        self._mix()
 
     def _rank(self) -> None:
-        self.sizes = (self.counts * 32 + 1).astype(_U)
+        """Each id's part of the range, and the level of its frequency."""
+        total = int(self.counts.sum())
+        room = (1 << _SCALE) - self.alphabet
+        self.sizes = (self.counts * (room - 1) // max(1, total) + 1).astype(_U)
         self.ends = np.cumsum(self.sizes)
-        self.total = self.ends[-1]
+        self.starts = self.ends - self.sizes
+        share = self.counts * 1024 // max(1, total)
+        self.level = np.searchsorted([1, 2, 4, 8, 16, 32, 64], share, side="right")
 
-    def predict(self, last: np.ndarray, before: np.ndarray) -> None:
+    def _mix(self) -> None:
+        """The chances in every state, as shares of 65536 parts of the range."""
+        one = _STRETCH[self.right1]
+        self.inputs = np.stack([_STRETCH[self.right2][_T2], one[_T1] * (2 * _AGREE - 1), _LEVEL_LOGIT[_LEVEL]])
+        w = self.weights[_AGREE]
+        self.p2 = _squash(w[:, 0] * self.inputs[0] + w[:, 1] * self.inputs[1] + w[:, 2] * self.inputs[2])
+        self.share2 = (self.p2 << 4).astype(_U)
+        self.inputs1 = np.stack([np.repeat(one, _LEVELS), np.tile(_LEVEL_LOGIT, 16)])
+        self.p1 = _squash(self.alone[0] * self.inputs1[0] + self.alone[1] * self.inputs1[1])
+        self.part1 = self.p1.astype(_U)
+
+    def predict(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Order-2 and order-1 ids and their shares of 65536."""
         self.slot = ((last * 0x9E3779B1 + before * 0x85EBCA77) >> 7) & ((1 << _SLOTS) - 1)
         self.last = last
-        self.c2, self.t2 = self.second[self.slot], self.second_trust[self.slot]
-        self.c1, self.t1 = self.first[last], self.first_trust[last]
-        self.agree = (self.c1 == self.c2).astype(np.int64)
-        total = np.int64(self.total)
-
-        def count_logit(ids: np.ndarray) -> np.ndarray:
-            return _STRETCH[np.clip((self.sizes[ids].astype(np.int64) << 12) // total, 1, 4095)]
+        self.v2, self.v1 = self.second[self.slot], self.first[last]
+        self.c2, self.c1 = self.v2 >> 4, self.v1 >> 4
+        self.t2, self.t1 = self.v2 & 15, self.v1 & 15
+        self.same = self.c1 == self.c2
+        self.state = (((self.t2 << 4 | self.t1) << 1 | self.same) << 3) | self.level[self.c2]
+        self.state1 = self.t1 << 3 | self.level[self.c1]
+        share2 = self.share2[self.state]
+        share1 = ((_U(65536) - share2) * self.part1[self.state1]) >> _U(12)
+        share1[self.same] = 0
+        return self.c2, self.c1, share2, share1
 
-        one = _STRETCH[self.right1[self.t1]]
-        self.x = np.stack([_STRETCH[self.right2[self.t2]], one * (2 * self.agree - 1), count_logit(self.c2)])
-        w = self.weights[self.agree]
-        mixed = w[:, 0] * self.x[0] + w[:, 1] * self.x[1] + w[:, 2] * self.x[2]
-        self.p2 = _SQUASH[np.clip(np.rint(mixed), -_REACH, _REACH).astype(np.int64) + _REACH]
-        self.y = np.stack([one, count_logit(self.c1)])
-        mixed = self.alone[0] * self.y[0] + self.alone[1] * self.y[1]
-        self.p1 = _SQUASH[np.clip(np.rint(mixed), -_REACH, _REACH).astype(np.int64) + _REACH]
-        # Shares of the coder's range, of 65536.
-        self.share2 = self.p2 << 4
-        self.share1 = np.where(self.agree == 1, 0, ((65536 - self.share2) * self.p1) >> 12)
-
-    def update(self, ids: np.ndarray) -> None:
-        hit2, hit1 = ids == self.c2, ids == self.c1
-        for right, trust, hit in ((self.right2, self.t2, hit2), (self.right1, self.t1, hit1)):
-            met = np.bincount(trust, minlength=16)
-            good = np.bincount(trust[hit], minlength=16)
-            right += (good * 4095 - met * right) // (met + 256)
-            np.clip(right, 8, 4088, out=right)
-        error = (hit2.astype(np.int64) << 12) - self.p2
-        for row in range(3):
-            # Sums of whole numbers: exact in any order.
-            push = np.bincount(self.agree, error * self.x[row], 2)
-            self.weights[:, row] += push / (np.bincount(self.agree, minlength=2) + 1) * 2.0**-23
-        other = (self.agree == 0) & ~hit2
-        if other.any():
-            error = ((hit1.astype(np.int64) << 12) - self.p1)[other]
-            for row in range(2):
-                self.alone[row] += float((error * self.y[row][other]).sum()) / len(error) * 2.0**-23
-        self.second[self.slot] = np.where(hit2 | (self.t2 > 0), self.c2, ids)
-        self.second_trust[self.slot] = np.where(hit2, np.minimum(self.t2 + 1, 15), self.t2 >> 1)
-        self.first[self.last] = np.where(hit1 | (self.t1 > 0), self.c1, ids)
-        self.first_trust[self.last] = np.where(hit1, np.minimum(self.t1 + 1, 15), self.t1 >> 1)
-        np.add.at(self.counts, ids, 1)
+    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """``hit1`` is true where the order-1 id alone was right, and had a share to be coded by."""
+        self.met[0] += np.bincount(self.state, minlength=_STATES)
+        self.met[1] += np.bincount(self.state[hit2], minlength=_STATES)
+        other = ~(self.same | hit2)
+        self.met1[0] += np.bincount(self.state1[other], minlength=16 * _LEVELS)
+        self.met1[1] += np.bincount(self.state1[hit1], minlength=16 * _LEVELS)
+        fresh = ids << 4
+        doubt = np.where(self.t2 > 0, self.v2 - ((self.t2 + 1) >> 1), fresh)
+        self.second[self.slot] = np.where(hit2, self.v2 + (self.t2 < 15), doubt)
+        doubt = np.where(self.t1 > 0, self.v1 - ((self.t1 + 1) >> 1), fresh)
+        self.first[self.last] = np.where(self.c1 == ids, self.v1 + (self.t1 < 15), doubt)
+        self.recent.append(ids)
         self.step += 1
         if self.step % 8 == 0 or self.step & (self.step - 1) == 0:
-            self._rank()
+            self._learn()
+
+    def _learn(self) -> None:
+        n, right = self.met
+        n2, r2 = (m.reshape(16, -1).sum(axis=1) for m in self.met)
+        self.right2 += (r2 * 4095 - n2 * self.right2) // (n2 + 256)
+        # The order-1 id was right where it agreed and order 2 was right, or where it alone was.
+        agreed = self.met.reshape(2, 16, 16, 2, -1)[:, :, :, 1].sum(axis=(1, 3))
+        n1, r1 = agreed + self.met1.reshape(2, 16, -1).sum(axis=2)
+        self.right1 += (r1 * 4095 - n1 * self.right1) // (n1 + 256)
+        for right_now in (self.right2, self.right1):
+            np.clip(right_now, 8, 4088, out=right_now)
+        error = (right << 12) - n * self.p2
+        for agree in (0, 1):
+            own = _AGREE == agree
+            total = int(n[own].sum()) + 1
+            for row in range(3):
+                self.weights[agree, row] += int((error[own] * self.inputs[row, own]).sum()) / total * 2.0**-21
+        error = (self.met1[1] << 12) - self.met1[0] * self.p1
+        total = int(self.met1[0].sum()) + 1
+        for row in range(2):
+            self.alone[row] += int((error * self.inputs1[row]).sum()) / total * 2.0**-21
+        self.met[:], self.met1[:] = 0, 0
+        self.counts += np.bincount(np.concatenate(self.recent), minlength=self.alphabet)
+        self.recent = []
+        self._rank()
+        self._mix()
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -111,22 +154,15 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def _split(low: np.ndarray, span: np.ndarray, start: np.ndarray, size: np.ndarray, total) -> np.ndarray:
-    """Narrow the range to ``size`` parts of ``total`` from ``start`` on, in place."""
-    part = span // total
-    low += start * part
-    np.multiply(size, part, out=span)
-    return part
-
-
 def _ready(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Lanes whose next byte is settled; a range about to get too small is cut short."""
+    """True for lanes whose next byte is settled; a range about to get too small is cut short."""
     settled = (low ^ (low + span)) < _TOP
-    tight = ~settled & (span < _BOTTOM)
+    tight = span < _BOTTOM
     if tight.any():
+        tight &= ~settled
         span[tight] = (_U(0) - low[tight]) & (_BOTTOM - _U(1))
         settled |= tight
-    return np.flatnonzero(settled)
+    return settled
 
 
 def encode_ids(ids: np.ndarray, alphabet: int) -> tuple[list[int], bytes]:
@@ -135,95 +171,116 @@ def encode_ids(ids: np.ndarray, alphabet: int) -> tuple[list[int], bytes]:
     lanes, steps = _shape(n)
     model = _Model(alphabet)
     low, span = np.zeros(lanes, _U), np.full(lanes, _WORD, _U)
-    out = np.zeros((lanes, 6 * steps + 8), np.uint8)
-    used = np.zeros(lanes, np.int64)
+    room = 6 * steps + 8
+    out = np.zeros(lanes * room, np.uint8)
+    at = np.arange(lanes) * room
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
-    grid = grid.reshape(lanes, steps)
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     for step in range(steps):
         on = -(-(n - step) // steps)  # lanes that still have an id
-        now, lo, sp = grid[:on, step], low[:on], span[:on]
-        model.predict(last[:on], before[:on])
-        hit2, hit1 = now == model.c2, now == model.c1
-        rest = 65536 - model.share2 - model.share1
-        start = np.where(hit2, 0, np.where(hit1, model.share2, model.share2 + model.share1))
-        size = np.where(hit2, model.share2, np.where(hit1, model.share1, rest))
-        _split(lo, sp, start.astype(_U), size.astype(_U), _U(65536))
-        others = np.flatnonzero(~hit2 & ~hit1)
+        now, lo, sp = grid[step, :on], low[:on], span[:on]
+        c2, c1, share2, share1 = model.predict(last[:on], before[:on])
+        hit2 = now == c2
+        hit1 = (now == c1) & ~hit2 & (share1 > _U(0))
+        part = sp >> _U(16)
+        rest = ~(hit2 | hit1)
+        skipped = np.where(hit2, _U(0), share2)
+        size = np.where(hit2, share2, np.where(hit1, share1, _U(65536) - share2 - share1))
+        skipped[rest] += share1[rest]
+        lo += skipped * part
+        np.multiply(size, part, out=sp)
+        others = np.flatnonzero(rest)
         if len(others):
-            own, l2, s2 = now[others], lo[others], sp[others]
-            _split(l2, s2, model.ends[own] - model.sizes[own], model.sizes[own], model.total)
-            lo[others], sp[others] = l2, s2
-        while len(at := _ready(lo, sp)):
-            out[at, used[at]] = (lo[at] >> _U(48)).astype(np.uint8)
-            used[at] += 1
-            lo[at] = (lo[at] << _U(8)) & _WORD
-            sp[at] <<= _U(8)
-        model.update(now)
+            own = now[others]
+            part = sp[others] >> _U(_SCALE)
+            lo[others] += model.starts[own] * part
+            sp[others] = model.sizes[own] * part
+        which = np.flatnonzero(_ready(lo, sp))
+        while len(which):
+            out[at[which]] = (lo[which] >> _U(48)).astype(np.uint8)
+            at[which] += 1
+            l2, s2 = (lo[which] << _U(8)) & _WORD, sp[which] << _U(8)
+            more = _ready(l2, s2)
+            lo[which], sp[which] = l2, s2
+            which = which[more]
+        model.update(now, hit2, hit1)
         before[:on] = last[:on]
         last[:on] = now
     # Two bytes name a number inside what is left of the range; the reader goes on with zeros.
     final = (low + _BOTTOM - _U(1)) >> _U(40)
-    out[np.arange(lanes), used] = (final >> _U(8)).astype(np.uint8)
-    out[np.arange(lanes), used + 1] = (final & _U(255)).astype(np.uint8)
-    used += 2
-    return used.tolist(), b"".join(out[k, : used[k]].tobytes() for k in range(lanes))
+    out[at] = (final >> _U(8)).astype(np.uint8)
+    out[at + 1] = (final & _U(255)).astype(np.uint8)
+    used = at + 2 - np.arange(lanes) * room
+    kept = np.arange(room)[None, :] < used[:, None]
+    return used.tolist(), out.reshape(lanes, room)[kept].tobytes()
 
 
 def decode_ids(n: int, alphabet: int, lanes: int, steps: int, sizes: np.ndarray, data: bytes) -> np.ndarray:
     model = _Model(alphabet)
-    raw = np.append(np.frombuffer(data, np.uint8), np.uint8(0))
+    raw = np.append(np.frombuffer(data, np.uint8), np.uint8(0)).astype(_U)
     ends = np.cumsum(sizes)
     at = ends - sizes
 
     def next_bytes(which: np.ndarray) -> np.ndarray:
-        inside = at[which] < ends[which]
-        out = np.where(inside, raw[np.minimum(at[which], len(raw) - 1)], 0).astype(_U)
-        at[which] += 1
-        return out
+        place = at[which]
+        found = raw[np.minimum(place, len(raw) - 1)]
+        over = place >= ends[which]
+        if over.any():
+            found[over] = 0
+        at[which] = place + 1
+        return found
 
     low, span, code = np.zeros(lanes, _U), np.full(lanes, _WORD, _U), np.zeros(lanes, _U)
     everyone = np.arange(lanes)
     for _ in range(7):
         code = (code << _U(8)) | next_bytes(everyone)
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    grid = np.zeros((lanes, steps), np.int64)
+    grid = np.zeros((steps, lanes), np.int64)
     for step in range(steps):
         on = -(-(n - step) // steps)
         lo, sp, co = low[:on], span[:on], code[:on]
-        model.predict(last[:on], before[:on])
-        part = sp // _U(65536)
-        value = np.minimum((co - lo) // part, _U(65535)).astype(np.int64)
-        hit2 = value < model.share2
-        hit1 = ~hit2 & (value < model.share2 + model.share1)
-        rest = 65536 - model.share2 - model.share1
-        start = np.where(hit2, 0, np.where(hit1, model.share2, model.share2 + model.share1))
-        size = np.where(hit2, model.share2, np.where(hit1, model.share1, rest))
-        _split(lo, sp, start.astype(_U), size.astype(_U), _U(65536))
-        now = np.where(hit2, model.c2, model.c1).astype(np.int64)
-        others = np.flatnonzero(~hit2 & ~hit1)
+        c2, c1, share2, share1 = model.predict(last[:on], before[:on])
+        part = sp >> _U(16)
+        inside = co - lo
+        first, second = share2 * part, share1 * part
+        hit2 = inside < first
+        hit1 = ~hit2 & (inside < first + second)
+        rest = ~(hit2 | hit1)
+        skipped = np.where(hit2, _U(0), first)
+        skipped[rest] += second[rest]
+        lo += skipped
+        sp[:] = np.where(hit2, first, np.where(hit1, second, (_U(65536) - share2 - share1) * part))
+        now = np.where(hit2, c2, c1)
+        others = np.flatnonzero(rest)
         if len(others):
-            l2, s2 = lo[others], sp[others]
-            value = np.minimum((co[others] - l2) // (s2 // model.total), model.total - _U(1))
+            l2 = lo[others]
+            part = sp[others] >> _U(_SCALE)
+            value = np.minimum((co[others] - l2) // part, model.ends[-1] - _U(1))
             own = np.searchsorted(model.ends, value, side="right")
-            _split(l2, s2, model.ends[own] - model.sizes[own], model.sizes[own], model.total)
-            lo[others], sp[others] = l2, s2
+            lo[others] = l2 + model.starts[own] * part
+            sp[others] = model.sizes[own] * part
             now[others] = own
-        while len(ready := _ready(lo, sp)):
-            lo[ready] = (lo[ready] << _U(8)) & _WORD
-            sp[ready] <<= _U(8)
-            co[ready] = ((co[ready] << _U(8)) & _WORD) | next_bytes(ready)
-        model.update(now)
+        which = np.flatnonzero(_ready(lo, sp))
+        while len(which):
+            co[which] = ((co[which] << _U(8)) & _WORD) | next_bytes(which)
+            l2, s2 = (lo[which] << _U(8)) & _WORD, sp[which] << _U(8)
+            more = _ready(l2, s2)
+            lo[which], sp[which] = l2, s2
+            which = which[more]
+        model.update(now, hit2, hit1)
         before[:on] = last[:on]
         last[:on] = now
-        grid[:on, step] = now
-    return grid.ravel()[:n]
+        grid[step, :on] = now
+    return grid.T.ravel()[:n]
 
 
 def write_block(docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """A block of whole documents: ids of the documents, their sizes, and all their token ids."""
     alphabet = int(ids.max()) + 1 if len(ids) else 1
+    if alphabet >= 1 << (_SCALE - 1):
+        raise ValueError(f"ids must be under {1 << (_SCALE - 1)}")
     lanes, steps = _shape(len(ids))
     lane_sizes, data = encode_ids(ids, alphabet) if len(ids) else ([0], b"")
     body = b"".join(
