@@ -23,7 +23,7 @@ from sieveline.operators import claims as C
 from sieveline.plans import reliability as rel
 from sieveline.plans import requests as req
 from sieveline.plans import retrieval as ret
-from sieveline.plans.lineage import share
+from sieveline.plans.lineage import cut, share
 from sieveline.sources import artifacts, prices, records
 
 from . import views as V
@@ -352,24 +352,20 @@ def rendered_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def selection_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Stored selections with costs and objectives tampered with, by method."""
-    done = _all_methods(spark, d)
-    stored = done.select(
+    """Stored selections with a cost, an objective and an id changed, and with rows deleted."""
+    method = F.col("method")
+    bent = F.concat(F.array(F.lit("made-up")), F.slice("selected_ids", 2, 100))
+    lost = (method == "top_k") & (F.substring("interaction_id", 2, 20).cast("long") % 3 == 0)
+    stored = _all_methods(spark, d).where(~lost).select(
         "interaction_id",
         "method",
-        "selected_ids",
-        (F.col("context_cost") + F.when(F.col("method") == "mmr", 1).otherwise(0)).alias(
-            "context_cost"
+        F.when((method == "coverage") & (F.size("selected_ids") > 0), bent).otherwise(F.col("selected_ids")).alias(
+            "selected_ids"
         ),
-        (F.col("objective") + F.when(F.col("method") == "joint", 0.5).otherwise(0.0)).alias(
-            "objective"
-        ),
-    )
-    best = done.where(F.col("method") == "exact").select(
-        "interaction_id", F.col("objective").alias("optimum")
+        (F.col("context_cost") + F.when(method == "mmr", 1).otherwise(0)).alias("context_cost"),
+        (F.col("objective") + F.when(method == "joint", 0.5).otherwise(0.0)).alias("objective"),
     )
-    fresh = done.select("interaction_id", "method", "context_cost", "objective")
-    return audits.selection_audit(fresh.join(best, "interaction_id"), stored, BUDGET, ITEMS)
+    return audits.selection_audit(_problems(spark, d), cut(stored), selection.METHODS, BUDGET, ITEMS)
 
 
 # ---- text -------------------------------------------------------------------------------

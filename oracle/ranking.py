@@ -281,4 +281,9 @@ FROM s_mmr WHERE cost + 1 > 150
 UNION ALL SELECT interaction_id || '/joint', 'objective_differs', 'objective' FROM s_joint
 UNION ALL SELECT j.interaction_id || '/joint', 'above_optimum', 'objective'
 FROM s_joint j JOIN s_exact e USING (interaction_id)
-WHERE j.objective + 0.5::DOUBLE > e.objective + 1e-9""")
+WHERE j.objective + 0.5::DOUBLE > e.objective + 1e-9
+UNION ALL SELECT interaction_id || '/coverage', 'unknown_selection',
+  'made-up' || CASE WHEN contains(selected, ',') THEN substring(selected, instr(selected, ',')) ELSE '' END
+FROM s_every WHERE method = 'coverage' AND selected <> ''
+UNION ALL SELECT interaction_id || '/top_k', 'selection_missing', 'no row'
+FROM s_every WHERE method = 'top_k' AND CAST(substring(interaction_id, 2) AS BIGINT) % 3 = 0""")

@@ -17,12 +17,13 @@ def violations(
     location: Column,
     rules: Iterable[tuple[str, Column, Column]],
 ) -> DataFrame:
-    """One row (location, rule, detail) per rule whose condition is true.
+    """One row (location, rule, detail) per rule whose condition is true or cannot be told.
 
-    Every rule is checked in a single pass over ``df``; a null condition means not broken.
+    Every rule is checked in a single pass over ``df``. A null condition counts as broken: a rule
+    that does not apply to a row has to say so itself.
     """
     checks = [
-        F.when(broken, F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail")))
+        F.when(F.coalesce(broken, F.lit(True)), F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail")))
         for name, broken, detail in rules
     ]
     return df.select(

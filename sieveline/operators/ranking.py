@@ -226,9 +226,9 @@ def score_violations(candidates: DataFrame, scores: DataFrame) -> DataFrame:
         F.concat_ws("/", *key),
         [
             ("missing_score", F.col("n").isNull(), F.lit("no score")),
-            ("repeated_score", F.col("n") > 1, F.col("n")),
+            ("repeated_score", F.coalesce("n", F.lit(0)) > 1, F.col("n")),
             ("unknown_candidate", F.col("known").isNull(), F.lit("not in the pool")),
-            ("score_not_finite", F.col("bad"), F.lit("score")),
+            ("score_not_finite", F.col("n").isNotNull() & F.col("bad"), F.lit("score")),
         ],
     )
 

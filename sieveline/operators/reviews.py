@@ -72,7 +72,7 @@ def draft_review_violations(
             ("validation_flag_missing", F.col("human_validated").isNull(), F.lit("flag")),
             (
                 "validation_flag_contradicts",
-                F.col("human_validated") != reviewed,
+                F.col("human_validated").isNotNull() & ~F.col("human_validated").eqNullSafe(reviewed),
                 F.col("status"),
             ),
             ("notes_missing", F.col("notes").isNull(), F.lit("notes")),
@@ -128,7 +128,7 @@ def draft_review_violations(
             ("source_url_differs", page & (F.col("raw_url") != F.col("source_url")), F.lit("url")),
             (
                 "quote_differs",
-                page & inside & (F.col("slice") != F.col("quote")),
+                page & F.coalesce(inside, F.lit(False)) & ~F.col("slice").eqNullSafe(F.col("quote")),
                 F.col("char_start"),
             ),
         ],

@@ -465,6 +465,31 @@ def select(
     return solved.select("interaction_id", *carry, F.lit(method).alias("method"), "r.*")
 
 
+def evaluate(
+    rows: DataFrame, stored: DataFrame, max_items: int, weights: Weights | None = None, cost: Cost = word_cost
+) -> DataFrame:
+    """Cost and objective of selections as they are stored (interaction_id, method, selected_ids).
+
+    Both are null where an id is null or not a candidate of the question.
+    """
+    weights = weights or Weights()
+    inner = [c for c in rows.columns if c != "interaction_id"]
+    ids = F.transform("candidates", lambda c: c["evidence_id"])
+    places = let(ids, lambda known: F.transform("selected_ids", lambda i: F.array_position(known, i).cast("int") - 1))
+    joined = stored.select("interaction_id", "method", "selected_ids").join(rows, "interaction_id").withColumn("chosen", places)
+    known = F.forall("chosen", lambda i: F.coalesce(i >= 0, F.lit(False)))
+
+    def rated(problem: Column) -> Column:
+        chosen = problem["chosen"]
+        return F.struct(
+            cost(problem, chosen).alias("context_cost"),
+            weighted(components(problem, chosen, max_items), weights).alias("objective"),
+        )
+
+    found = F.when(known, let(F.struct(*inner, "chosen"), rated))
+    return joined.select("interaction_id", "method", found.alias("r")).select("interaction_id", "method", "r.*")
+
+
 def select_all(rows: DataFrame, budget: int, max_items: int, **options) -> DataFrame:
     """Every selector on the same problems."""
     parts = [select(rows, method, budget, max_items, **options) for method in METHODS]
