@@ -23,11 +23,18 @@ PIECES = 64  # pieces in a leaf
 TREE = "n_tokens long, leaf_chars array<int>, leaf_tokens array<int>"
 
 
-def leaves_of(text: str, pieces: PieceEncoder) -> tuple[np.ndarray, np.ndarray]:
-    """(characters, tokens) of each leaf."""
-    chars, tokens = pieces.piece_counts(text)
-    at = np.arange(0, len(chars), PIECES)
-    return (np.add.reduceat(chars, at), np.add.reduceat(tokens, at)) if len(at) else (chars, tokens)
+def leaves_of(texts: list[str], pieces: PieceEncoder) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(characters, tokens) of the leaves of each text."""
+    chars, tokens, counts = pieces.piece_counts(texts)
+    each = -(-counts // PIECES)
+    if not each.sum():
+        return [(chars, tokens)] * len(texts)
+    first = np.repeat(np.cumsum(counts) - counts, each)
+    starts = first + PIECES * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
+    cuts = np.cumsum(each)[:-1]
+    return list(
+        zip(np.split(np.add.reduceat(chars, starts), cuts), np.split(np.add.reduceat(tokens, starts), cuts), strict=True)
+    )
 
 
 class TokenTree:
@@ -36,7 +43,7 @@ class TokenTree:
     def __init__(self, text: str, pieces: PieceEncoder, chars=None, tokens=None) -> None:
         self.pieces = pieces
         if chars is None:
-            chars, tokens = leaves_of(text, pieces)
+            chars, tokens = leaves_of([text], pieces)[0]
         ends = np.cumsum(chars)
         self.leaves = [text[end - n : end] for end, n in zip(ends.tolist(), np.asarray(chars).tolist(), strict=True)] or [""]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
@@ -59,15 +66,12 @@ class TokenTree:
     def text(self) -> str:
         return "".join(self.leaves)
 
-    def _find(self, at: int) -> tuple[int, int]:
-        """(leaf, first character of it) of the character ``at``; the last leaf for the text's end."""
-        node, first = 1, 0
-        while node < self.width:
-            node *= 2
-            if at >= first + self.sums[node, 0] and self.sums[node + 1, 0] > 0:
-                first += int(self.sums[node, 0])
-                node += 1
-        return node - self.width, first
+    def _find(self, places: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """The filled leaves that hold some characters; the last one for the text's end."""
+        filled = np.flatnonzero(self.sums[self.width : self.width + len(self.leaves), 0])
+        if not len(filled):
+            return np.zeros(len(places), np.int64)
+        return filled[np.maximum(np.searchsorted(firsts[filled], places, side="right") - 1, 0)]
 
     def _filled(self, leaf: int, step: int) -> int:
         """The next leaf with characters in a direction, or ``leaf`` if there is none."""
@@ -91,24 +95,25 @@ class TokenTree:
         Edits whose leaves meet are encoded together.
         """
         regions: list[list] = []
-        for start, stop, new in sorted(edits):
-            low, first = self._find(start)
-            before = self._filled(low, -1)
-            if before != low:
-                first -= len(self.leaves[before])
-            after = self._filled(self._find(max(start, stop - 1))[0], 1)
+        edits = tuple(sorted(edits))
+        chars = self.sums[self.width : self.width + len(self.leaves), 0]
+        firsts = np.cumsum(chars) - chars
+        lows = self._find(np.array([e[0] for e in edits], np.int64), firsts).tolist()
+        highs = self._find(np.array([max(e[0], e[1] - 1) for e in edits], np.int64), firsts).tolist()
+        for edit, low, high in zip(edits, lows, highs, strict=True):
+            before, after = self._filled(low, -1), self._filled(high, 1)
             if regions and before <= regions[-1][1]:
                 regions[-1][1] = max(regions[-1][1], after)
             else:
-                regions.append([before, after, first, []])
-            regions[-1][3].append((start, stop, new))
+                regions.append([before, after, int(firsts[before]), []])
+            regions[-1][3].append(edit)
         for before, after, first, own in regions:
             old, parts, at = "".join(self.leaves[before : after + 1]), [], first
             for start, stop, new in own:
                 parts += [old[at - first : start - first], new]
                 at = stop
             region = "".join([*parts, old[at - first :]])
-            tokens = int(self.pieces.piece_counts(region)[1].sum())
+            tokens = int(self.pieces.piece_counts([region])[1].sum())
             self.encoded += len(region)
             for leaf in range(before, after + 1):
                 if self.leaves[leaf]:
@@ -121,14 +126,21 @@ class TokenTree:
 # Addresses, numbers and keys that a corpus should not hold, and runs of marks: what a redaction
 # takes out, with what it puts in their place.
 _ADDRESS = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8}")
-_OTHERS = re.compile(r"(?P<ip>\b\d{1,3}(?:\.\d{1,3}){3}\b)|(?P<key>\b[0-9a-f]{24,}\b)|(?P<marks>[#*$%&|!]{2,})")
-_NEW = {"ip": "IP", "key": "KEY", "marks": ""}
+_NUMBER = re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b")
+_KEY = re.compile(r"\b[0-9a-f]{24,}\b")
+_MARKS = re.compile(r"[#*$%&|!]{2,}")
+_DIGIT = re.compile(r"\d")
 
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
     """(start, stop, new) of the edits that clean a text, in ascending order and without overlaps."""
+    # Cheap looks first: most texts have no address, number or long word.
     found = [(m.start(), m.end(), "MAIL") for m in _ADDRESS.finditer(text)] if "@" in text else []
-    found += [(m.start(), m.end(), _NEW[m.lastgroup]) for m in _OTHERS.finditer(text)]
+    if _DIGIT.search(text):
+        found += [(m.start(), m.end(), "IP") for m in _NUMBER.finditer(text)]
+    if max(map(len, text.split()), default=0) >= 24:
+        found += [(m.start(), m.end(), "KEY") for m in _KEY.finditer(text)]
+    found += [(m.start(), m.end(), "") for m in _MARKS.finditer(text)]
     out: list[tuple[int, int, str]] = []
     for one in sorted(found):
         if not out or one[0] >= out[-1][1]:
@@ -140,7 +152,7 @@ def _trees(path: str):
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path)
         for part in parts:
-            leaves = [leaves_of(t.as_py() or "", pieces) for t in part.column("body")]
+            leaves = leaves_of([t or "" for t in part.column("body").to_pylist()], pieces)
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [

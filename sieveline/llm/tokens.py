@@ -70,7 +70,7 @@ def keys_of(text: str) -> list[str]:
 class PieceEncoder:
     """Ids of whole texts; remembers at most ``limit`` pieces and then starts afresh."""
 
-    def __init__(self, path: str, limit: int = 700_000) -> None:
+    def __init__(self, path: str, limit: int = 1_400_000) -> None:
         self.tokenizer = self._load(path)
         self.limit = limit
         self._reset()
@@ -95,6 +95,7 @@ class PieceEncoder:
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int32)
+        self.chars = np.zeros(1 << 14, np.int32)
         self.used = 0
 
     def _learn(self) -> None:
@@ -110,9 +111,11 @@ class PieceEncoder:
             while high > len(self.sizes):
                 self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
                 self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+                self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
             while self.used + len(flat) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
             self.sizes[low:high] = sizes
+            self.chars[low:high] = np.fromiter(map(len, some), np.int32, len(some))
             self.starts[low:high] = self.used + np.cumsum(sizes) - sizes
             self.ids[self.used : self.used + len(flat)] = flat
             self.used += len(flat)
@@ -142,15 +145,29 @@ class PieceEncoder:
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, np.diff(bounds)
 
-    def piece_counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(characters, ids) of every piece of a text."""
-        pairs = []
-        for part in segments(self._prepared(text)) if text else ():
-            which, _ = self._numbers([part])
-            chars = np.fromiter((len(k) - 1 if " " in k else len(k) + 1 for k in self._keys(part)), np.int64, len(which))
-            pairs.append((chars, self.sizes[which].astype(np.int64)))
-        none = np.zeros(0, np.int64)
-        return tuple(np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (none, none)
+    def piece_counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(characters, ids) of every piece of some texts, and the pieces of each text."""
+        chars, sizes = [], []
+        pieces = np.zeros(len(texts), np.int64)
+        held: list[tuple[int, str]] = []
+        total = 0
+
+        def flush() -> None:
+            which, counts = self._numbers([part for _, part in held])
+            np.add.at(pieces, [n for n, _ in held], counts)
+            chars.append(self.chars[which].astype(np.int64))
+            sizes.append(self.sizes[which].astype(np.int64))
+            held.clear()
+
+        for n, text in enumerate(texts):
+            for part in segments(self._prepared(text)) if text else ():
+                held.append((n, part))
+                total += len(part)
+                if total > _BATCH_CHARS:
+                    flush()
+                    total = 0
+        flush()
+        return np.concatenate(chars), np.concatenate(sizes), pieces
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text in turn (null counts as empty)."""
