@@ -21,10 +21,10 @@ from . import (
     tokenfiles,
 )
 from .common import ship, table, tokenizer_path
+from .sql import ORACLE as ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
