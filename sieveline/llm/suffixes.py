@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, saved
+from .common import discard, keyed_text, saved
 
 _STEPS = 3  # doublings from the q-gram to the bucket's string
 CELL = 16  # neighbouring starts that are looked at together
@@ -256,13 +256,15 @@ def repeated_starts(keyed: DataFrame, length: int) -> DataFrame:
         )
     )
     kind = F.xxhash64("near", "far", "whole")
-    shared = (
+    # Written, so that both sides of the join are plain shuffles and a hot bucket can be split.
+    shared = saved(
         runs.groupBy("bucket", "side")
         .agg(F.count("*").alias("members"), F.min(kind).alias("least"), F.max(kind).alias("most"))
         .where("members > 1")
         .select("bucket", "side", (F.col("least") == F.col("most")).alias("alike"))
     )
     met = saved(runs.join(shared, ["bucket", "side"]))
+    discard(runs, shared)
     alike = met.where("alike").select("doc", "mark", "anchor", "near", "far")
     group = ["bucket", "side", "near", "far", "whole"]
     # Of runs with the same bytes one is asked, with the number of them as weight.
@@ -288,7 +290,9 @@ def repeated_starts(keyed: DataFrame, length: int) -> DataFrame:
     single = cells.where("n = 1")
     sure = single.join(kinds.where("n > 1").drop("n"), ["cell", "core", "low", "high", "edge"], "left_semi")
     # Where cells with one core differ at their edges, their strings are compared one by one.
-    mixed_cores = kinds.groupBy("cell", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("cell", "core")
+    mixed_cores = saved(
+        kinds.groupBy("cell", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("cell", "core")
+    )
 
     def strings(df: DataFrame, *columns: str) -> DataFrame:
         piece = F.expr(f"substring(edge, {CELL} - j, {CELL - 1})")
@@ -299,7 +303,7 @@ def repeated_starts(keyed: DataFrame, length: int) -> DataFrame:
         )
 
     string = ["cell", "core", "j", "piece"]
-    twice = strings(kinds, "n").groupBy(*string).agg(F.sum("n").alias("n")).where("n > 1").select(*string)
+    twice = saved(strings(kinds, "n").groupBy(*string).agg(F.sum("n").alias("n")).where("n > 1").select(*string))
     lone = single.join(kinds.where("n = 1").drop("n"), ["cell", "core", "low", "high", "edge"], "left_semi")
     found = strings(lone, "doc", "mark", "base").join(twice, string, "left_semi")
 
