@@ -70,7 +70,7 @@ def keys_of(text: str) -> list[str]:
 class PieceEncoder:
     """Ids of whole texts; remembers at most ``limit`` pieces and then starts afresh."""
 
-    def __init__(self, path: str, limit: int = 1_400_000) -> None:
+    def __init__(self, path: str, limit: int = 900_000) -> None:
         self.tokenizer = self._load(path)
         self.limit = limit
         self._reset()
