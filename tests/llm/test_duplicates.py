@@ -198,6 +198,14 @@ def test_passages_around_a_frequent_line(spark):
     assert all(r.other == r.doc - 1 and r.high - r.low >= 50 for r in found)
 
 
+def test_contexts_of_windows_are_whole_hashes():
+    texts = [f"{prose(7000 + n, 60)} one phrase of five words {prose(8000 + n, 60)}".encode() for n in range(400)]
+    found = passages.compact_windows(texts, 46, 4)
+    for side in ("ahead", "behind"):
+        assert np.abs(found[side]).max() > 1 << 60
+        assert len(np.unique(found[side])) > 0.9 * len(np.unique(found["text"] << 32 | found["node"]))
+
+
 def test_windows_cover_all_long_subsequences():
     rng = np.random.default_rng(8)
     tokens = rng.integers(0, 25, 120).astype(np.uint64)
