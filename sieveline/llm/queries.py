@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    balltree,
     classifier,
     counts,
     packing,
     passages,
+    prefixtrie,
     projections,
     rules,
     sentencepieces,
     simhash,
     suffixes,
     tokenfiles,
+    whitening,
 )
 from .common import ship, table, tokenizer_path
 from .sql import ORACLE as ORACLE
@@ -104,3 +107,18 @@ def op2_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op8_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.count_redacted(table(spark, d, "documents"), tokenizer_path()).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op11_products(spark: SparkSession, d: str) -> DataFrame:
+    return balltree.largest_products(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
+@query
+def op13_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, d, "conversations"))
