@@ -136,8 +136,9 @@ def dense_rank(spark: SparkSession, d: str) -> DataFrame:
     return top.select("interaction_id", "evidence_id", "rank", _r("score").alias("score"))
 
 
-def _second_scores(pool: DataFrame, own: DataFrame) -> DataFrame:
-    """A second scorer over the same pairs: negative squared distance of the raw vectors."""
+def _second_scores(shortlist: DataFrame, pool: DataFrame, own: DataFrame) -> DataFrame:
+    """A second scorer for a shortlist: negative squared distance of the raw vectors."""
+    pool = pool.join(shortlist.select("interaction_id", "evidence_id"), ["interaction_id", "evidence_id"])
     asked = own.select("interaction_id", F.col("vector").alias("q"))
     square = F.zip_with(
         "vector", "q", lambda a, b: (a.cast("double") - b.cast("double")) ** 2
@@ -151,8 +152,8 @@ def _second_scores(pool: DataFrame, own: DataFrame) -> DataFrame:
 @query
 def rerank_two_stage(spark: SparkSession, d: str) -> DataFrame:
     pool, own = V.vector_pools(spark, d)
-    first = ranking.top_k(ranking.dense_scores(pool, own), 10)
-    second = ranking.rescore(first, _second_scores(pool, own))
+    first = share(ranking.top_k(ranking.dense_scores(pool, own), 10))
+    second = ranking.rescore(first, _second_scores(first, pool, own))
     return ranking.top_k(second, 10).select(
         "interaction_id", "evidence_id", "rank", _r("score").alias("score")
     )
@@ -174,7 +175,7 @@ def _method_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     )
     _, own = V.vector_pools(spark, d)
     union, contexts = ret.compare_methods(
-        lexical, pool, own, _second_scores(pool, own), 10, 3, 150
+        lexical, pool, own, lambda few: _second_scores(few, pool, own), 10, 3, 150
     )
     return lexical, union, contexts
 

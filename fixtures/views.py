@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.operators.asof import prior_close_evidence, prior_close_requests
 from sieveline.operators.routing import Capability
-from sieveline.plans.lineage import share
+from sieveline.plans.lineage import fan_out, share
 from sieveline.sources.prices import daily_prices
 
 SNAPSHOT = "desk-prices"
@@ -53,7 +53,7 @@ def _page_rows(spark: SparkSession, d: str, owner: Column, index: Column) -> Dat
     web = table(spark, d, "pages")
     n_pages = web.count()
     docs = table(spark, d, "documents")
-    keyed = docs.withColumn("page_id", F.col("doc_id") % n_pages)
+    keyed = fan_out(docs, "doc_id").withColumn("page_id", F.col("doc_id") % n_pages)
     return keyed.join(web.select("page_id", "url"), "page_id").select(
         owner.alias("interaction_id"),
         index.cast("int").alias("page_index"),
@@ -131,7 +131,7 @@ def _pick(index: Column, texts: tuple[str, ...]) -> Column:
 
 
 def price_questions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select(
+    rows = fan_out(table(spark, d, "events").select("event_id", "ts", "user_id"), "event_id").select(
         "event_id", "ts", ticker().alias("ticker"), F.to_date("ts").alias("date")
     )
     return rows.select(
@@ -335,4 +335,4 @@ def record_lines(spark: SparkSession, d: str, broken: bool) -> DataFrame:
         .when(kind == 11, "[1]")
         .otherwise(record)
     )
-    return table(spark, d, "documents").select("doc_id", value.alias("value"))
+    return fan_out(table(spark, d, "documents"), "doc_id").select("doc_id", value.alias("value"))

@@ -103,7 +103,8 @@ ORACLE["method_audit"] = compose(
 SELECT interaction_id || '/' || method || '/' || unnest(taken) AS location,
   'score_not_finite' AS rule FROM walk_end WHERE method = 'dense'
 UNION ALL
-SELECT interaction_id, 'method_set_differs' FROM walk_end
+SELECT CASE rule WHEN 'run_missing' THEN interaction_id || '/bm25' ELSE interaction_id END, rule
+FROM walk_end, (VALUES ('method_set_differs'), ('run_missing')) r(rule)
 WHERE method = 'bm25' AND used % 2 = 1""",
     METHOD_WALK,
 )

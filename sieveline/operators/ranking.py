@@ -138,22 +138,25 @@ def select_context(
 
     Among items of one word count only the first ``limit`` in rank order can ever be taken:
     if one of them was skipped for space, every later item of that size is skipped too. That
-    keeps at most ``limit * (max_words + 1)`` slim rows per question, and the cut is exact. Items
-    without words cost nothing; a question of which nothing fits gets an empty selection. A missing
-    or non-finite score stops the query.
+    keeps at most ``limit * (max_words + 2)`` slim rows per question, and the cut is exact; all sizes
+    that never fit are one class, kept so that a question of which nothing fits gets an empty
+    selection. Items without words cost nothing. A missing or non-finite score stops the query.
     """
     require(
         all(is_int(v) and v >= 1 for v in (limit, max_words)),
         "limit and max_words have to be at least 1",
     )
     scored = scored.withColumn("score", finite_score())
-    fits = scored.where((F.col("word_count") >= 0) & (F.col("word_count") <= max_words))
-    window = Window.partitionBy(*by, "word_count").orderBy(*rank_order())
-    short = fits.withColumn("n", F.row_number().over(window)).where(F.col("n") <= limit)
+    fits = F.coalesce((F.col("word_count") >= 0) & (F.col("word_count") <= max_words), F.lit(False))
+    sized = scored.withColumn("size_class", F.when(fits, F.col("word_count")).otherwise(max_words + 1))
+    window = Window.partitionBy(*by, "size_class").orderBy(*rank_order())
+    short = sized.withColumn("n", F.row_number().over(window)).where(F.col("n") <= limit)
     item = F.struct(
         (-F.round("score", SCORE_DIGITS)).alias("key"), "evidence_id", "word_count", "score"
     )
-    pools = short.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("pool"))
+    pools = short.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.when(F.col("size_class") <= max_words, item))).alias("pool")
+    )
     taken_type = "array<struct<evidence_id:string,word_count:int,score:double>>"
     empty = F.struct(F.lit(0).alias("used"), F.array().cast(taken_type).alias("taken"))
 
@@ -166,14 +169,7 @@ def select_context(
         ).otherwise(state)
 
     walked = pools.select(*by, F.aggregate("pool", empty, step).alias("s"))
-    return (
-        scored.select(*by).distinct().join(walked, list(by), "left")
-        .select(
-            *by,
-            F.coalesce("s.taken", F.array().cast(taken_type)).alias("selected"),
-            F.coalesce("s.used", F.lit(0)).alias("context_words"),
-        )
-    )
+    return walked.select(*by, F.col("s.taken").alias("selected"), F.col("s.used").alias("context_words"))
 
 
 def unit_vector(vector: Column) -> Column:

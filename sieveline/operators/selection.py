@@ -168,8 +168,19 @@ def chosen_text(problem: Column, chosen: Column) -> Column:
 
 
 def word_cost(problem: Column, chosen: Column) -> Column:
-    """Words of the whole rendered set, never a sum of per-item costs."""
-    return word_count(chosen_text(problem, chosen))
+    """Words of the whole rendered set.
+
+    Rendered items are separated by blank lines, so no word spans two of them and the set's words are
+    the words of its items; ``priced`` counts each item once for all options.
+    """
+    return F.aggregate(chosen, F.lit(0), lambda total, i: total + F.get(problem["words"], i))
+
+
+def priced(rows: DataFrame) -> DataFrame:
+    """Problems with the words of every rendered candidate; rows that have them already stay as they are."""
+    if "words" in rows.columns:
+        return rows
+    return rows.withColumn("words", F.transform("candidates", lambda c: word_count(rendered_item(c))))
 
 
 def with_token_costs(rows: DataFrame, tokens: Callable, max_items: int) -> DataFrame:
@@ -433,6 +444,7 @@ def select(
     require(is_int(budget) and is_int(max_items), "budget and max_items have to be whole numbers")
     require(budget >= 1 and max_items >= 1, "budget and max_items have to be at least 1")
     require(0 <= mmr_lambda <= 1, "mmr_lambda must be in [0, 1]")
+    rows = priced(rows) if cost is word_cost else rows
     inner = [c for c in rows.columns if c not in ("interaction_id", *carry)]
 
     def solve(problem: Column) -> Column:
@@ -473,6 +485,7 @@ def evaluate(
     Both are null where an id is null or not a candidate of the question.
     """
     weights = weights or Weights()
+    rows = priced(rows) if cost is word_cost else rows
     inner = [c for c in rows.columns if c != "interaction_id"]
     ids = F.transform("candidates", lambda c: c["evidence_id"])
     places = let(ids, lambda known: F.transform("selected_ids", lambda i: F.array_position(known, i).cast("int") - 1))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms
-from ..operators.chunking import web_chunks, with_content
+from ..operators.chunking import explode_pages, web_chunks, with_content
 from ..operators.ranking import (
     bm25_scores,
     dense_scores,
@@ -38,18 +39,25 @@ def score_pages(
 ) -> Scored:
     """BM25 over each question's own pages.
 
-    The question's terms join the page rows before chunking; from there to the counted
-    features everything is narrow. The features are read twice (statistics, then scores), so
-    these slim rows are kept rather than tokenising every page again.
+    Pages that carry their question's ``q_terms`` (``asked_pages``) are chunked where they are;
+    others meet the terms first, in salts for heavy questions. From there to the counted features
+    everything is narrow. The features are read twice (statistics, then scores), so these slim rows
+    are kept rather than tokenising every page again.
     """
-    asked = questions.select("interaction_id", query_terms("query").alias("q_terms"))
-    joined = salted_join(pages, asked, "interaction_id", "page_index")
-    chunks = web_chunks(joined, chunk_words, ("q_terms",))
+    if "q_terms" not in pages.columns:
+        asked = questions.select("interaction_id", query_terms("query").alias("q_terms"))
+        pages = salted_join(pages, asked, "interaction_id", "page_index")
+    chunks = web_chunks(pages, chunk_words, ("q_terms",))
     features = share(term_features(chunks.drop("source_title", "source_time")))
     statistics = pool_statistics(features)
     return Scored(bm25_scores(features, statistics, k1, b), statistics)
 
 
+def asked_pages(records: DataFrame) -> DataFrame:
+    """Pages of nested records, each with the terms of the question it came with: no join."""
+    return explode_pages(records.withColumn("q_terms", query_terms("query")), ("q_terms",))
+
+
 def ranked_pool(scored: Scored, pages: DataFrame, size: int) -> DataFrame:
     """Top candidates per question with text and normalised relevance."""
     pool = normalised_relevance(top_k(scored.chunks.drop("n_candidates", "n_terms"), size))
@@ -109,19 +117,22 @@ def compare_methods(
     lexical: DataFrame,
     vectors: DataFrame,
     question_vectors: DataFrame,
-    second_scores: DataFrame,
+    second_scorer: Callable[[DataFrame], DataFrame],
     dense_top_k: int,
     limit: int,
     max_words: int,
 ) -> tuple[DataFrame, DataFrame]:
     """BM25, dense, and dense re-ranked by a second scorer on one pool and one word budget.
 
-    Returns the scored union and the filled contexts, both keyed by (question, method).
+    ``second_scorer`` gets the dense shortlist (interaction_id, evidence_id) and returns a score for
+    each of its rows; it never sees the rest of the pool. Returns the scored union and the filled
+    contexts, both keyed by (question, method).
     """
     slim = lexical.select("interaction_id", "evidence_id", "word_count", "score")
     pool = slim.drop("score").join(vectors, ["interaction_id", "evidence_id"])
     dense = share(dense_scores(pool, question_vectors))
-    refined = rescore(top_k(dense, dense_top_k), second_scores)
+    shortlist = share(top_k(dense, dense_top_k))
+    refined = rescore(shortlist, second_scorer(shortlist.select("interaction_id", "evidence_id")))
     named = lambda df, m: df.withColumn("method", F.lit(m))
     union = (
         named(slim, METHODS[0])

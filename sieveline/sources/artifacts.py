@@ -52,13 +52,14 @@ def checksum_violations(digests: DataFrame, manifest: DataFrame) -> DataFrame:
         name.alias("name"), F.col("bytes").alias("got_bytes"), F.col("sha256").alias("got_sha256")
     )
     joined = manifest.join(found, "name", "left")
+    there = F.col("got_sha256").isNotNull()
     return violations(
         joined,
         F.col("name"),
         [
             ("file_missing", F.col("got_sha256").isNull(), F.col("name")),
-            ("size_differs", F.col("got_bytes") != F.col("bytes"), F.col("got_bytes")),
-            ("sha256_differs", F.col("got_sha256") != F.col("sha256"), F.col("got_sha256")),
+            ("size_differs", there & (F.col("got_bytes") != F.col("bytes")), F.col("got_bytes")),
+            ("sha256_differs", there & (F.col("got_sha256") != F.col("sha256")), F.col("got_sha256")),
         ],
     )
 

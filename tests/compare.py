@@ -24,7 +24,7 @@ def canonical(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame[sorted(frame.columns)].copy()
     for column in frame.columns:
         frame[column] = [
-            "<null>" if v is None or v is pd.NaT or (isinstance(v, float) and v != v)
+            "<null>" if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v)
             else repr(round(float(v), 6) + 0.0) if isinstance(v, float) or hasattr(v, "is_integer")
             else str(v)
             for v in frame[column].astype(object)
