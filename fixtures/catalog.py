@@ -13,6 +13,7 @@ from sieveline.operators import (
     audits,
     chunking,
     metrics,
+    packets,
     ranking,
     reviews,
     routing,
@@ -20,10 +21,12 @@ from sieveline.operators import (
     selection,
 )
 from sieveline.operators import claims as C
+from sieveline.operators.mutations import Mutation
+from sieveline.operators.mutations import mutation_matrix as matrix
 from sieveline.plans import reliability as rel
 from sieveline.plans import requests as req
 from sieveline.plans import retrieval as ret
-from sieveline.plans.lineage import cut, share
+from sieveline.plans.lineage import cut, place, share
 from sieveline.sources import artifacts, prices, records
 
 from . import views as V
@@ -503,6 +506,17 @@ def capability_violations(spark: SparkSession, d: str) -> DataFrame:
     return routing.capability_violations(rows)
 
 
+def _eligible(spark: SparkSession, d: str) -> DataFrame:
+    gate = routing.gate(routing.capability_array(V.CAPABILITIES), T.query_date("query_time"))
+    return V.price_questions(spark, d).select(
+        "interaction_id",
+        F.transform(F.filter(gate, lambda g: g["reason"].isNull()), lambda g: g["name"]).alias(
+            "eligible"
+        ),
+        F.map_from_entries(F.filter(gate, lambda g: g["reason"].isNotNull())).alias("reasons"),
+    )
+
+
 @query
 def routing_audit(spark: SparkSession, d: str) -> DataFrame:
     """Stored plans with one allocation raised on all-source plans of unhinted questions."""
@@ -520,15 +534,7 @@ def routing_audit(spark: SparkSession, d: str) -> DataFrame:
             .alias("tokens"),
         ),
     )
-    gate = routing.gate(routing.capability_array(V.CAPABILITIES), T.query_date("query_time"))
-    eligible = V.price_questions(spark, d).select(
-        "interaction_id",
-        F.transform(F.filter(gate, lambda g: g["reason"].isNull()), lambda g: g["name"]).alias(
-            "eligible"
-        ),
-        F.map_from_entries(F.filter(gate, lambda g: g["reason"].isNotNull())).alias("reasons"),
-    )
-    return audits.routing_audit(plans.withColumn("allocations", raised), eligible)
+    return audits.routing_audit(plans.withColumn("allocations", raised), _eligible(spark, d))
 
 
 # ---- prices -----------------------------------------------------------------------------
@@ -735,18 +741,25 @@ def retry_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def retry_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Stored decisions with tampered tokens and answers, against recomputed ones."""
-    fresh = _decisions(spark, d)
+    """Stored decisions with edited tokens, answers and retries, against ones worked out anew.
+
+    The call cap is what the recomputed run needs, so every made-up retry exceeds it.
+    """
+    first, fresh = _decisions(spark, d), share(_decisions(spark, d))
     supported = F.col("after_verdict") == C.SUPPORTED
-    stored = fresh.withColumn(
-        "combined_reserved_tokens",
-        F.when(F.col("policy") == "adaptive", F.col("combined_reserved_tokens") + 4000).otherwise(
-            F.col("combined_reserved_tokens")
-        ),
-    ).withColumn(
-        "released_answer", F.when(supported, F.lit("made up")).otherwise(F.col("released_answer"))
+    extra = (F.col("policy") == "all_available") & ~F.col("retried") & (F.length("interaction_id") % 2 == 0)
+    stored = cut(
+        first.withColumn(
+            "combined_reserved_tokens",
+            F.when(F.col("policy") == "adaptive", F.col("combined_reserved_tokens") + 4000).otherwise(
+                F.col("combined_reserved_tokens")
+            ),
+        )
+        .withColumn("released_answer", F.when(supported, F.lit("made up")).otherwise(F.col("released_answer")))
+        .withColumn("retried", F.col("retried") | extra)
     )
-    return audits.retry_audit(stored, fresh, 2048, 4096, 1_000_000_000)
+    cap = fresh.agg(F.count("*") + F.count_if("retried")).first()[0]
+    return audits.retry_audit(stored, fresh, 2048, 4096, cap)
 
 
 @query
@@ -1030,36 +1043,48 @@ def sample_rejections(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d).rejections
 
 
-def _packet(spark: SparkSession, d: str) -> DataFrame:
-    asked, pages, _, _ = _sample_inputs(spark, d)
+def _packet(spark: SparkSession, d: str) -> packets.Packet:
+    asked, pages, seen, _ = _sample_inputs(spark, d)
     chosen = share(_sample(spark, d).chosen)
     mine = pages.join(chosen.select("interaction_id"), "interaction_id", "left_semi")
     few = asked.join(chosen.select("interaction_id"), "interaction_id", "left_semi")
     pool = ret.ranked_pool(ret.score_pages(few, mine, 120), mine, 12)
-    return sampling.packet(chosen, asked, pages, pool)
+    return packets.build_packet(chosen, asked, pages, pool, seen)
 
 
 @query
 def evaluation_packet(spark: SparkSession, d: str) -> DataFrame:
-    rows = _packet(spark, d)
-    return rows.select(
-        "interaction_id",
-        F.col("n_pages").alias("pages"),
-        F.size("candidates").alias("candidates"),
-        F.array_join(F.transform("candidates", lambda c: c["evidence_id"]), ",").alias("evidence"),
-        F.sha2(F.get("candidates", F.lit(0))["content"], 256).alias("first_sha256"),
-    )
+    """Every question of the packet with its pages, candidates and the root of its digests."""
+    made = _packet(spark, d)
+    rows = made.candidates.groupBy("interaction_id").agg(
+        F.count("*").alias("candidates"), F.array_sort(F.collect_list(F.struct("rank", "evidence_id"))).alias("c")
+    )
+    pages = made.pages.groupBy("interaction_id").agg(F.count("*").alias("pages"))
+    root = packets.roots(packets.leaves(made)).select(
+        F.regexp_replace("branch", "^question/", "").alias("interaction_id"), "leaves", "root"
+    )
+    return made.questions.join(pages, "interaction_id").join(rows, "interaction_id").join(root, "interaction_id").select(
+        "interaction_id", "pages", "candidates", "leaves", "root",
+        F.array_join(F.transform("c", lambda c: c["evidence_id"]), ",").alias("evidence"),
+    )
 
 
 @query
 def packet_violations(spark: SparkSession, d: str) -> DataFrame:
-    """A stored packet whose short questions were edited, against its recomputation."""
-    fresh = share(_packet(spark, d).select("interaction_id", "query"))
-    stored = fresh.withColumn(
-        "query",
-        F.when(F.length("query") < 1000, F.concat("query", F.lit("!"))).otherwise(F.col("query")),
-    )
-    return audits.difference(fresh, stored, F.col("interaction_id"))
+    """A packet written with damage in every part and read again, against one worked out from the raw tables."""
+    made = _packet(spark, d)
+    n = F.substring("interaction_id", 2, 20).cast("long")
+    swapped = F.when((n % 6 == 2) & (F.col("rank") <= 2), 3 - F.col("rank")).otherwise(F.col("rank"))
+    bent = packets.Packet(
+        made.questions.where(n % 6 != 3).withColumn("query", F.when(n % 6 == 0, F.concat("query", F.lit("!"))).otherwise(F.col("query"))),
+        made.pages.where(n % 6 != 4).withColumn("page_url", F.when(n % 6 == 1, F.concat("page_url", F.lit("#"))).otherwise(F.col("page_url"))),
+        made.candidates.withColumn("rank", swapped),
+        made.ledger.where(n % 4 != 0).union(made.ledger.where(n % 4 == 1).select(F.concat("interaction_id", F.lit("x")))),
+    )
+    folder = place(spark)
+    packets.write_packet(bent, folder)
+    found = packets.packet_violations(packets.read_packet(spark, folder), _packet(spark, d))
+    return found.select("location", "rule")
 
 
 @query
@@ -1154,7 +1179,7 @@ def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     done = req.prepare_requests(
         plans, ret.candidates(pool), req.structured_candidates(known), CONFIG
     )
-    return done, plans
+    return done, known
 
 
 @query
@@ -1178,39 +1203,125 @@ def preflight(spark: SparkSession, d: str) -> DataFrame:
     return req.preflight(_requests(spark, d)[0], CONFIG)
 
 
+def _generated(spark: SparkSession, d: str) -> DataFrame:
+    """A run over the prepared requests; answers follow the known close in six styles."""
+    done, known = _requests(spark, d)
+    n = F.substring("interaction_id", 2, 20).cast("long")
+    price = known.select("interaction_id", "close", "ticker", "requested_date")
+    close = F.coalesce(F.col("close").cast("string"), F.lit("0.5"))
+    answered = done.join(price, "interaction_id", "left").withColumn(
+        "prediction", F.coalesce(V.answer(n % 6), F.lit("unknown"))
+    )
+    return answered.select(
+        "interaction_id", "policy", "prompt_sha256", "candidate_ids", "allocations", "prediction",
+        metrics.evaluate_answer("prediction", F.array(F.concat(F.lit("  "), close), F.concat(F.lit("ABOUT "), close))).alias("evaluation"),
+        "input_tokens",
+        T.word_count("prediction").alias("output_tokens"),
+        (n % 10 / 10.0).alias("generation_seconds"),
+        (n % 4 / 4.0).alias("retrieval_seconds"),
+    )
+
+
 @query
 def generated_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Stored traces of the prepared requests with edited prompts and token counts."""
-    done, _ = _requests(spark, d)
-    fresh = share(
-        done.select(
-            "interaction_id",
-            "policy",
-            "prompt_sha256",
-            "candidate_ids",
-            "allocations",
-            metrics.evaluate_answer(F.lit("I don't know."), F.array(F.lit("x"))).alias("evaluation"),
-            "input_tokens",
-            F.lit(5).alias("output_tokens"),
-            F.lit(0.5).alias("generation_seconds"),
-            F.lit(0.1).alias("retrieval_seconds"),
-        )
-    )
-    web = F.col("policy") == "fixed_web"
-    stored = (
-        fresh.withColumn(
-            "prompt_sha256", F.when(web, F.lit("edited")).otherwise(F.col("prompt_sha256"))
-        )
+    """A stored run and its summary, edited after the summary was taken, against a run worked out anew."""
+    first = cut(_generated(spark, d))
+    summary = cut(metrics.generation_summary(first))
+    web, adaptive = F.col("policy") == "fixed_web", F.col("policy") == "adaptive"
+    wrong = (F.col("policy") == "all_available") & F.col("evaluation.exact_agreement")
+    bent = (
+        first.withColumn("prompt_sha256", F.when(web, F.lit("edited")).otherwise(F.col("prompt_sha256")))
+        .withColumn("output_tokens", F.when(adaptive, 500).otherwise(F.col("output_tokens")))
+        .withColumn("generation_seconds", F.when(web, F.lit(float("nan"))).otherwise(F.col("generation_seconds")))
         .withColumn(
-            "output_tokens",
-            F.when(F.col("policy") == "adaptive", 500).otherwise(F.col("output_tokens")),
-        )
-        .withColumn(
-            "generation_seconds",
-            F.when(web, F.lit(float("nan"))).otherwise(F.col("generation_seconds")),
+            "evaluation",
+            F.when(wrong, F.col("evaluation").withField("exact_agreement", F.lit(False))).otherwise(F.col("evaluation")),
         )
     )
-    return audits.generated_audit(stored, fresh, CONFIG.total_tokens, CONFIG.max_new_tokens)
+    return audits.generated_audit(cut(bent), _generated(spark, d), CONFIG.total_tokens, CONFIG.max_new_tokens, summary)
+
+
+def _routing_damage() -> list[Mutation]:
+    """Damage that one rule alone can see."""
+    some = F.size("allocations") > 0
+    raised = F.transform("allocations", lambda a: a.withField("tokens", a["tokens"] + 1))
+    other = F.transform("allocations", lambda a: a.withField("name", F.concat(a["name"], F.lit("?"))))
+    excused = F.transform("blocked_hints", lambda b: b.withField("reason", F.lit("made up")))
+    everyone = F.col("policy") == "all_available"
+    return [
+        Mutation("reserved_tokens", "change", "budget_not_conserved", F.col("reserved_tokens") + 1),
+        Mutation("allocations", "change", "budget_not_spent", raised, some),
+        Mutation("allocations", "change", "source_not_eligible", other, some & everyone),
+        Mutation("max_source_calls", "change", "call_count_differs", F.col("max_source_calls") + 1),
+        Mutation("blocked_hints", "change", "block_reason_differs", excused, F.size("blocked_hints") > 0),
+        Mutation("execution_status", "change", "already_executed", F.lit("done")),
+        Mutation("row", "drop", "plan_missing"),
+        Mutation("row", "repeat", "repeated_row"),
+    ]
+
+
+def _generated_damage() -> list[Mutation]:
+    fewer = F.slice("candidate_ids", F.lit(2), F.size("candidate_ids"))
+    raised = F.transform("allocations", lambda a: a.withField("tokens", a["tokens"] + 1))
+    judged = F.col("evaluation").withField("outcome", F.lit("made up"))
+    return [
+        Mutation("prompt_sha256", "change", "prompt_sha256_differs", F.lit("edited")),
+        Mutation("candidate_ids", "change", "candidate_ids_differs", fewer, F.size("candidate_ids") > 0),
+        Mutation("allocations", "change", "allocations_differs", raised, F.size("allocations") > 0),
+        Mutation("evaluation", "change", "evaluation_differs", judged),
+        Mutation("input_tokens", "change", "input_tokens_differs", F.col("input_tokens") - 1),
+        Mutation("output_tokens", "change", "output_too_long", F.lit(500)),
+        Mutation("generation_seconds", "change", "generation_seconds_invalid", F.lit(float("nan"))),
+        Mutation("retrieval_seconds", "change", "retrieval_seconds_invalid", F.lit(-1.0)),
+        Mutation("row", "drop", "row_missing"),
+        Mutation("row", "repeat", "repeated_row"),
+    ]
+
+
+def _retry_damage() -> list[Mutation]:
+    fields = ("before_verdict", "after_verdict", "final_prediction", "released_answer")
+    tokens = "combined_reserved_tokens"
+    return [
+        Mutation("retried", "change", "retried_differs", F.lit(False), F.col("retried")),
+        *[Mutation(f, "change", f"{f}_differs", F.concat(f, F.lit("?"))) for f in fields],
+        Mutation(tokens, "change", f"{tokens}_differs", F.col(tokens) + 1, F.col("retried")),
+        Mutation("row", "drop", "row_missing"),
+        Mutation("row", "repeat", "repeated_row"),
+    ]
+
+
+def _span_damage() -> list[Mutation]:
+    return [
+        Mutation("page_index", "change", "page_unknown", F.col("page_index") + 1_000_000),
+        Mutation("source_url", "change", "source_url_differs", F.lit("elsewhere")),
+        Mutation("char_end", "change", "span_differs", F.col("char_end") - 1),
+        Mutation("word_count", "change", "word_count_differs", F.col("word_count") + 1),
+    ]
+
+
+@query
+def mutation_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Four stored runs, every row of a share damaged in one way: which damage does its audit name?"""
+    at = F.concat_ws("/", "interaction_id", "policy")
+    plans, eligible = cut(_plans(spark, d)), cut(_eligible(spark, d))
+    routed = matrix("routing", plans, at, _routing_damage(), lambda bent: audits.routing_audit(bent, eligible))
+    run = cut(_generated(spark, d))
+    generated = matrix(
+        "generated", run, at, _generated_damage(),
+        lambda bent: audits.generated_audit(bent, run, CONFIG.total_tokens, CONFIG.max_new_tokens),
+    )
+    decisions = cut(_decisions(spark, d))
+    many = 3 * decisions.count()
+    retried = matrix("retry", decisions, at, _retry_damage(), lambda bent: audits.retry_audit(bent, decisions, 2048, 4096, many))
+    pages = V.pages(spark, d)
+    scored = ret.score_pages(V.questions(spark, d), pages, 50)
+    context = ranking.select_context(scored.chunks, 5, 170)
+    trace = cut(chunking.with_content(ret.selected_spans(context, scored.chunks, ("interaction_id",)), pages))
+    spans = matrix(
+        "spans", trace, F.concat_ws("/", "interaction_id", "evidence_id"), _span_damage(),
+        lambda bent: audits.span_audit(bent, pages),
+    )
+    return routed.unionByName(generated).unionByName(retried).unionByName(spans)
 
 
 @query

@@ -157,7 +157,7 @@ def _policies() -> Column:
     return F.explode(F.array(*[F.lit(p) for p in ("fixed_web", "all_available", "adaptive")]))
 
 
-def _answer(style: Column) -> Column:
+def answer(style: Column) -> Column:
     """Prediction texts of six kinds around the known close."""
     close = F.coalesce(F.col("close").cast("string"), F.lit("0.5"))
     day = F.date_format("requested_date", "yyyy-MM-dd")
@@ -198,8 +198,8 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
         "available_as_of",
         "close",
         (uses & F.col("close").isNotNull()).alias("uses_price"),
-        F.coalesce(_answer(F.expr("event_id div 12") % 6), F.lit("unknown")).alias("prediction"),
-        F.coalesce(_answer((F.expr("event_id div 12") + 3) % 6), F.lit("unknown")).alias("second_prediction"),
+        F.coalesce(answer(F.expr("event_id div 12") % 6), F.lit("unknown")).alias("prediction"),
+        F.coalesce(answer((F.expr("event_id div 12") + 3) % 6), F.lit("unknown")).alias("second_prediction"),
         F.sha2(F.concat("query", F.lit("|"), seen), 256).alias("prompt_sha256"),
         (n % 50 + 100).cast("int").alias("input_tokens"),
         (n % 20 + 5).cast("int").alias("output_tokens"),

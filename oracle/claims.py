@@ -131,6 +131,9 @@ SELECT policy, count(*) AS requests, count_if(retried) AS retries,
   count_if(after_verdict = 'unresolved_conflict') AS conflict_after,
   coalesce(max(combined_reserved_tokens), 0) AS maximum_combined_reserved_tokens
 FROM e_decision GROUP BY policy""")
+CTES["e_extra_retry"] = """
+SELECT interaction_id FROM e_decision
+WHERE policy = 'all_available' AND NOT retried AND length(interaction_id) % 2 = 0"""
 ORACLE["retry_audit"] = compose("""
 SELECT interaction_id || '/adaptive' AS location, 'combined_reserved_tokens_differs' AS rule,
   'combined_reserved_tokens' AS detail FROM e_decision WHERE policy = 'adaptive' AND retried
@@ -138,7 +141,11 @@ UNION ALL SELECT interaction_id || '/adaptive', 'request_over_cap',
   CAST(combined_reserved_tokens + 4000 AS VARCHAR) FROM e_decision
 WHERE policy = 'adaptive' AND retried AND combined_reserved_tokens + 4000 > 4096
 UNION ALL SELECT interaction_id || '/' || policy, 'released_answer_differs', 'released_answer'
-FROM e_decision WHERE after_verdict = 'supported_price_field'""")
+FROM e_decision WHERE after_verdict = 'supported_price_field'
+UNION ALL SELECT interaction_id || '/all_available', r.rule, r.detail FROM e_extra_retry,
+  (VALUES ('retried_differs', 'retried'), ('round_over_cap', 'none'), ('request_over_cap', 'none')) r(rule, detail)
+UNION ALL SELECT 'run', 'too_many_calls', CAST(count(*) + (SELECT count(*) + count_if(retried) FROM e_decision) AS VARCHAR)
+FROM e_extra_retry HAVING count(*) > 0""")
 
 
 def _outcome(text: str, *answers: str) -> str:

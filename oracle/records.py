@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .base import CTES, RECURSIVE, WS, _bm25, _chunks, compose, fold, words
+from .base import CTES, RECURSIVE, WS, _bm25, _chunks, compose, fold, walk, words
 from .routing import EVIDENCE_ID, prompt
 
 ORACLE: dict[str, str] = {}
@@ -116,17 +116,37 @@ SELECT s.interaction_id, s.query FROM sam s JOIN sam_scan c USING (interaction_i
 WHERE c.outcome = 'chosen'"""
 CTES["d_page"] = """
 SELECT interaction_id, 0::INTEGER AS page_index, '' AS page_name, '' AS page_url,
-  '' AS page_last_modified, query AS page_result, '' AS page_snippet FROM d_query"""
+  '' AS page_last_modified, query AS page_result, '' AS page_snippet,
+  (SELECT p.url FROM doc_page p WHERE 'd' || p.doc_id = interaction_id) AS url FROM d_query"""
 _chunks("d", 120)
 _bm25("d", 120)
-ORACLE["evaluation_packet"] = compose("""
-SELECT interaction_id, 1 AS pages, CAST(count(*) AS INTEGER) AS candidates,
-  string_agg(evidence_id, ',' ORDER BY rank) AS evidence,
-  sha256(arg_min(content, rank)) AS first_sha256
-FROM d_bm_120_rank WHERE rank <= 12 GROUP BY interaction_id""")
+CTES["d_kind"] = """
+SELECT interaction_id, CAST(substring(interaction_id, 2) AS BIGINT) % 6 AS k FROM d_query"""
+CTES["d_leaf"] = """
+SELECT interaction_id, 'question' AS part, '' AS place,
+  sha256(concat_ws(chr(0), '+' || interaction_id, '+' || query, '+')) AS digest FROM d_query
+UNION ALL SELECT interaction_id, 'page', '0', sha256(concat_ws(chr(0), '+' || interaction_id, '+0', '+', '+' || url, '+',
+  '+' || page_result, '+')) FROM d_page
+UNION ALL SELECT interaction_id, 'candidate', CAST(rank AS VARCHAR), sha256(concat_ws(chr(0), '+' || interaction_id,
+  '+' || rank, '+' || evidence_id, '+' || page_index, '+' || field, '+' || char_start, '+' || char_end, '+' || content,
+  '+' || word_count)) FROM d_bm_120_rank WHERE rank <= 12"""
+ORACLE["evaluation_packet"] = compose(f"""
+SELECT interaction_id, 1 AS pages, candidates, leaves, root, evidence
+FROM (SELECT interaction_id, count(*) AS candidates, string_agg(evidence_id, ',' ORDER BY rank) AS evidence
+  FROM d_bm_120_rank WHERE rank <= 12 GROUP BY interaction_id)
+JOIN (SELECT interaction_id, count(*) AS leaves, sha256(concat_ws('-', CAST(count(*) AS VARCHAR), {_WORDS})) AS root
+  FROM (SELECT interaction_id, sha256(concat_ws(chr(0), part, place, digest)) AS h FROM d_leaf) GROUP BY interaction_id)
+USING (interaction_id)""")
 ORACLE["packet_violations"] = compose("""
-SELECT interaction_id AS location, r.rule, interaction_id AS detail
-FROM d_query, (VALUES ('row_missing'), ('row_unexpected')) r(rule) WHERE length(query) < 1000""")
+SELECT interaction_id || '/question' AS location, CASE k WHEN 0 THEN 'question_changed' ELSE 'question_missing' END AS rule
+FROM d_kind WHERE k IN (0, 3)
+UNION ALL SELECT interaction_id || '/page/0', CASE k WHEN 1 THEN 'page_changed' ELSE 'page_missing' END FROM d_kind WHERE k IN (1, 4)
+UNION ALL SELECT interaction_id || '/candidate/' || p.place, CASE WHEN c.many > 1 THEN 'candidate_changed'
+  WHEN p.place = 1 THEN 'candidate_missing' ELSE 'candidate_unexpected' END
+FROM d_kind JOIN (SELECT interaction_id, count(*) AS many FROM d_bm_120_rank GROUP BY 1) c USING (interaction_id),
+  (VALUES (1), (2)) p(place) WHERE k = 2
+UNION ALL SELECT DISTINCT 'ledger/d' || doc_id || CASE doc_id % 4 WHEN 0 THEN '' ELSE 'x' END,
+  CASE doc_id % 4 WHEN 0 THEN 'ledger_missing' ELSE 'ledger_unexpected' END FROM labels WHERE toxic = 1 AND doc_id % 4 IN (0, 1)""")
 
 # ---- reviews ----------------------------------------------------------------------------
 
@@ -213,8 +233,71 @@ ORACLE["preflight"] = compose(f"""
 SELECT policy, count(*) AS requests, CAST(max({words('prompt')} + 96) AS INTEGER)
     AS maximum_request_tokens, count_if({words('prompt')} + 96 > 512) AS over_budget,
   count(*) AS web_calls, count_if(priced) AS finance_calls FROM u_request_text GROUP BY policy""")
+CTES["u_run"] = f"""
+SELECT r.*, {words('answer')} AS output_tokens, {words('prompt')} AS input_tokens,
+  lower(answer) IN (close, 'about ' || close) AS exact
+FROM (SELECT t.*, coalesce(CAST(e.close AS VARCHAR), '0.5') AS close,
+    coalesce(CASE CAST(substring(t.interaction_id, 2) AS BIGINT) % 6
+      WHEN 0 THEN coalesce(CAST(e.close AS VARCHAR), '0.5') WHEN 1 THEN CAST(CAST(round(e.close) AS BIGINT) AS VARCHAR)
+      WHEN 2 THEN '$' || coalesce(CAST(e.close AS VARCHAR), '0.5')
+      WHEN 3 THEN e.ticker || chr(39) || 's closing price yesterday (' || strftime(e.requested_date, '%Y-%m-%d')
+        || ') was ' || CAST(e.close AS VARCHAR) || '.'
+      WHEN 4 THEN 'I don' || chr(39) || 't know.' ELSE 'about ' || coalesce(CAST(e.close AS VARCHAR), '0.5') END, 'unknown') AS answer
+  FROM u_request_text t LEFT JOIN u_evidence e USING (interaction_id)) r"""
 ORACLE["generated_audit"] = compose("""
 SELECT interaction_id || '/fixed_web' AS location, r.rule, r.detail FROM u_query,
   (VALUES ('prompt_sha256_differs', 'prompt_sha256'), ('generation_seconds_invalid', 'seconds'))
   r(rule, detail)
-UNION ALL SELECT interaction_id || '/adaptive', 'output_too_long', '500' FROM u_query""")
+UNION ALL SELECT interaction_id || '/adaptive', 'output_too_long', '500' FROM u_query
+UNION ALL SELECT interaction_id || '/all_available', 'evaluation_differs', 'evaluation' FROM u_run
+WHERE policy = 'all_available' AND exact
+UNION ALL SELECT 'fixed_web', 'mean_generation_seconds_differs', 'mean_generation_seconds'
+UNION ALL SELECT 'adaptive', 'mean_output_tokens_differs', 'mean_output_tokens'
+UNION ALL SELECT 'adaptive', 'maximum_total_tokens_differs', 'maximum_total_tokens'
+UNION ALL SELECT 'all_available', 'exact_agreement_rate_differs', 'exact_agreement_rate'
+FROM u_run WHERE policy = 'all_available' HAVING bool_or(exact)""")
+
+
+def _matrix(audit: str, source: str, location: str, damage: list[tuple[str, str]]) -> str:
+    """Damaged rows by share of the location's hash; every one of them has to be caught."""
+    drawn = f"CAST('0x' || substring(sha256({location}), 1, 8) AS BIGINT) % {len(damage) + 1}"
+    chosen = " ".join(f"WHEN {k} THEN CASE WHEN {able} THEN {k} END" for k, (_, able) in enumerate(damage))
+    names = ", ".join(f"({k}, '{name}')" for k, (name, _) in enumerate(damage))
+    return f"""
+SELECT '{audit}' AS audit, coalesce(m.name, 'sound') AS mutation, count(*) AS damaged, count(m.name) AS caught,
+  0::BIGINT AS strayed
+FROM (SELECT CASE {drawn} {chosen} END AS nth FROM {source}) r LEFT JOIN (VALUES {names}) m(nth, name) ON m.nth = r.nth
+GROUP BY m.name"""
+
+
+_AT = "interaction_id || '/' || policy"
+_TWICE = ("row:repeat:repeated_row", "true")
+_GONE = ("row:drop:row_missing", "true")
+_VERDICTS = ("before_verdict", "after_verdict", "final_prediction", "released_answer")
+_PARTS = [
+    _matrix("routing", "e_plan", _AT, [
+        ("reserved_tokens:change:budget_not_conserved", "true"), ("allocations:change:budget_not_spent", "n > 0"),
+        ("allocations:change:source_not_eligible", "n > 0 AND policy = 'all_available'"),
+        ("max_source_calls:change:call_count_differs", "true"),
+        ("blocked_hints:change:block_reason_differs", "blocked_hints <> ''"),
+        ("execution_status:change:already_executed", "true"), ("row:drop:plan_missing", "true"), _TWICE,
+    ]),
+    _matrix("generated", "u_run", _AT, [
+        ("prompt_sha256:change:prompt_sha256_differs", "true"),
+        ("candidate_ids:change:candidate_ids_differs", "candidate_ids <> ''"),
+        ("allocations:change:allocations_differs", "true"), ("evaluation:change:evaluation_differs", "true"),
+        ("input_tokens:change:input_tokens_differs", "true"), ("output_tokens:change:output_too_long", "true"),
+        ("generation_seconds:change:generation_seconds_invalid", "true"),
+        ("retrieval_seconds:change:retrieval_seconds_invalid", "true"), _GONE, _TWICE,
+    ]),
+    _matrix("retry", "e_decision", _AT, [
+        ("retried:change:retried_differs", "retried"), *[(f"{f}:change:{f}_differs", "true") for f in _VERDICTS],
+        ("combined_reserved_tokens:change:combined_reserved_tokens_differs", "retried"), _GONE, _TWICE,
+    ]),
+    _matrix("spans", "(SELECT interaction_id, unnest(taken) AS evidence_id FROM walk_end)",
+        "interaction_id || '/' || evidence_id", [
+        ("page_index:change:page_unknown", "true"), ("source_url:change:source_url_differs", "true"),
+        ("char_end:change:span_differs", "true"), ("word_count:change:word_count_differs", "true"),
+    ]),
+]
+ORACLE["mutation_matrix"] = compose(" UNION ALL ".join(_PARTS), walk("q_bm_50_rank", ("interaction_id",), 5, 170))

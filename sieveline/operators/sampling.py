@@ -232,33 +232,3 @@ def sample_disjoint(
         .agg(F.count("*").alias("n"))
     )
     return Sample(chosen, counts, outcome)
-
-
-def packet(
-    chosen: DataFrame, questions: DataFrame, pages: DataFrame, candidates: DataFrame
-) -> DataFrame:
-    """One row per chosen question: its page count and its ranked candidate spans.
-
-    Candidates are the few that survived the rank cut. Page texts stay flat (``packet_pages``),
-    because a question may own any number of pages.
-    """
-    keys = chosen.select("interaction_id")
-    counts = pages.groupBy("interaction_id").agg(F.count("*").cast("int").alias("n_pages"))
-    span = F.struct(
-        "rank", "evidence_id", "page_index", "field", "char_start", "char_end", "content",
-        "word_count",
-    )
-    nested = candidates.groupBy("interaction_id").agg(
-        F.array_sort(F.collect_list(span)).alias("candidates")
-    )
-    return (
-        questions.join(keys, "interaction_id", "left_semi")
-        .select("interaction_id", "query", "query_time")
-        .join(counts, "interaction_id", "left")
-        .join(nested, "interaction_id", "left")
-    )
-
-
-def packet_pages(chosen: DataFrame, pages: DataFrame) -> DataFrame:
-    """The pages that belong to a packet, one row each."""
-    return pages.join(chosen.select("interaction_id"), "interaction_id", "left_semi")

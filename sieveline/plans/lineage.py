@@ -29,15 +29,21 @@ def _folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def place(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder; ``release`` deletes what is written there."""
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    _written.setdefault(spark, []).append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table into the checkpoint folder and continue from its files.
 
     The rows are computed once, and later rounds start from the files. ``release`` deletes them.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = place(spark)
     df.write.parquet(path)
-    _written.setdefault(spark, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
