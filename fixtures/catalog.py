@@ -28,6 +28,7 @@ from sieveline.plans import requests as req
 from sieveline.plans import retrieval as ret
 from sieveline.plans.lineage import cut, place, share
 from sieveline.sources import artifacts, prices, records
+from sieveline.sources.pagestore import store_pages
 
 from . import views as V
 
@@ -864,9 +865,28 @@ def asset_violations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def file_checksums(spark: SparkSession, d: str) -> DataFrame:
-    """Digests of the stored tables, checked against sizes read back from the listing."""
-    found = artifacts.file_digests(spark, d)
-    return found.select(F.substring_index("path", "/", -1).alias("name"), "bytes", "sha256")
+    """Documents by 64 parts against pins of an earlier state: longer texts, turned texts, a part that is gone."""
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    n = F.col("doc_id")
+    part = n % 64
+    earlier = F.when(n % 97 == 5, F.concat("text", F.lit("x"))).when(n % 89 == 3, F.reverse("text")).otherwise(F.col("text"))
+    past = docs.withColumn("text", earlier).withColumn("part", part)
+    gone = docs.where(n % 1000 == 0).withColumn("part", F.lit(64).cast("long"))
+    digests = lambda df, p: artifacts.content_digests(
+        df, "documents", p, F.octet_length("text"), T.content_hash("doc_id", "text")
+    )
+    pins = digests(past.unionByName(gone), F.col("part")).withColumn("name", F.substring_index("path", "/", -1)).drop("path")
+    return artifacts.checksum_violations(digests(docs, part), pins).select("location", "rule")
+
+
+@query
+def run_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A trace of all events written once, bound by the manifest of that pass; the sources are the users."""
+    trace = V.table(spark, d, "events").select("event_id", "user_id", "event_type", "props")
+    users = trace.select("user_id").distinct()
+    key = T.content_hash("event_id", "user_id", "event_type", "props")
+    made = artifacts.write_run(trace, place(spark), '{"limit": null}', users, ("event_id", "user_id"), key)
+    return made.select("config_sha256", "trace_rows", "trace_fingerprint", "order_fingerprint", "sources")
 
 
 @query
@@ -1156,7 +1176,7 @@ def draft_review_violations(spark: SparkSession, d: str) -> DataFrame:
             F.array(head, tail).alias("references"),
         ).alias("draft"),
     )
-    return reviews.draft_review_violations(rows, asked, pages).select("location", "rule")
+    return reviews.draft_review_violations(rows, asked, store_pages(pages)).select("location", "rule")
 
 
 # ---- requests and audits ----------------------------------------------------------------
@@ -1313,7 +1333,7 @@ def mutation_matrix(spark: SparkSession, d: str) -> DataFrame:
     decisions = cut(_decisions(spark, d))
     many = 3 * decisions.count()
     retried = matrix("retry", decisions, at, _retry_damage(), lambda bent: audits.retry_audit(bent, decisions, 2048, 4096, many))
-    pages = V.pages(spark, d)
+    pages = store_pages(V.pages(spark, d))
     scored = ret.score_pages(V.questions(spark, d), pages, 50)
     context = ranking.select_context(scored.chunks, 5, 170)
     trace = cut(chunking.with_content(ret.selected_spans(context, scored.chunks, ("interaction_id",)), pages))
@@ -1327,7 +1347,7 @@ def mutation_matrix(spark: SparkSession, d: str) -> DataFrame:
 @query
 def retrieval_audit(spark: SparkSession, d: str) -> DataFrame:
     """A stored retrieval run whose snippet spans and odd pages were edited."""
-    pages = V.pages(spark, d)
+    pages = store_pages(V.pages(spark, d))
     scored = ret.score_pages(V.questions(spark, d), pages, 50)
     context = share(ranking.select_context(scored.chunks, 5, 170))
     trace = ret.selected_spans(context, scored.chunks, ("interaction_id",))

@@ -39,8 +39,8 @@ SELECT x.section, x.key, x.n FROM n, LATERAL (VALUES
   ('total', 'rows', a), ('total', 'web_pages', a), ('total', 'empty_web_pages', blank),
   ('total', 'numeric_alternate_answers', c), ('question_type', 'simple', a),
   ('static_or_dynamic', 'static', a), ('split', '1', s), ('split', 'absent', a - s),
-  ('web_pages_per_query', '1', a), ('answer_types', 'number', e), ('answer_types', 'string', a - e),
-  ('alternate_answer_types', 'number', c), ('alternate_answer_types', 'string', 2 * c),
+  ('web_pages_per_query', '1', a), ('answer_types', 'int', e), ('answer_types', 'string', a - e),
+  ('alternate_answer_types', 'int', c), ('alternate_answer_types', 'string', 2 * c),
   ('row_fields', 'interaction_id', a), ('row_fields', 'query', a), ('row_fields', 'query_time', a),
   ('row_fields', 'domain', a), ('row_fields', 'question_type', a),
   ('row_fields', 'static_or_dynamic', a), ('row_fields', 'answer', a),
@@ -65,6 +65,18 @@ ORACLE["run_fingerprint"] = f"""
 SELECT count(*) AS rows, sha256(concat_ws('-', {_WORDS})) AS fingerprint
 FROM (SELECT sha256(concat_ws(chr(0), CAST(event_id AS VARCHAR), CAST(user_id AS VARCHAR),
   event_type, props)) AS h FROM events)"""
+ORACLE["file_checksums"] = """
+WITH d AS (SELECT doc_id, CAST(doc_id % 64 AS VARCHAR) AS name, doc_id % 97 = 5 AS longer,
+  doc_id % 97 <> 5 AND doc_id % 89 = 3 AND reverse(text) <> text AS turned FROM documents)
+SELECT name AS location, 'size_differs' AS rule FROM d GROUP BY name HAVING bool_or(longer)
+UNION ALL SELECT name, 'sha256_differs' FROM d GROUP BY name HAVING bool_or(longer OR turned)
+UNION ALL SELECT '64', 'file_missing' FROM d WHERE doc_id % 1000 = 0 HAVING count(*) > 0"""
+ORACLE["run_manifest"] = f"""
+SELECT sha256('{{"limit": null}}') AS config_sha256, rows AS trace_rows, fingerprint AS trace_fingerprint,
+  (SELECT sha256(concat_ws('-', {_WORDS})) FROM (SELECT sha256(concat_ws(chr(0), CAST(event_id AS VARCHAR),
+    CAST(user_id AS VARCHAR))) AS h FROM events)) AS order_fingerprint,
+  (SELECT count(DISTINCT user_id) FROM events) AS sources
+FROM ({ORACLE["run_fingerprint"]})"""
 
 # ---- sampling ---------------------------------------------------------------------------
 

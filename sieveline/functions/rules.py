@@ -22,13 +22,18 @@ def violations(
     Every rule is checked in a single pass over ``df``. A null condition counts as broken: a rule
     that does not apply to a row has to say so itself.
     """
+    return df.select(location.cast("string").alias("location"), F.explode(broken(rules)).alias("v")).select(
+        "location", "v.rule", "v.detail"
+    )
+
+
+def broken(rules: Iterable[tuple[str, Column, Column]]) -> Column:
+    """(rule, detail) of every rule whose condition is true or cannot be told, as one array."""
     checks = [
-        F.when(F.coalesce(broken, F.lit(True)), F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail")))
-        for name, broken, detail in rules
+        F.when(F.coalesce(condition, F.lit(True)), F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail")))
+        for name, condition, detail in rules
     ]
-    return df.select(
-        location.cast("string").alias("location"), F.explode(F.array_compact(F.array(*checks))).alias("v")
-    ).select("location", "v.rule", "v.detail")
+    return F.array_compact(F.array(*checks))
 
 
 def require_none(found: DataFrame) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shared: list[DataFrame] = []
 _written: weakref.WeakKeyDictionary[SparkSession, list[str]] = weakref.WeakKeyDictionary()
+_named: weakref.WeakKeyDictionary[SparkSession, list[str]] = weakref.WeakKeyDictionary()
 
 
 def _folder(spark: SparkSession) -> str:
@@ -29,10 +30,15 @@ def _folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def place(spark: SparkSession) -> str:
-    """A new path in the checkpoint folder; ``release`` deletes what is written there."""
-    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+def place(spark: SparkSession, table: str | None = None) -> str:
+    """A new path in the checkpoint folder; ``release`` deletes what is written there.
+
+    ``table`` names the catalog table over it, if there is one, which is dropped then too.
+    """
+    path = f"{_folder(spark)}/{table or 'table'}-{uuid.uuid4().hex}"
     _written.setdefault(spark, []).append(path)
+    if table:
+        _named.setdefault(spark, []).append(table)
     return path
 
 
@@ -81,6 +87,8 @@ def release(spark: SparkSession) -> None:
         if df.sparkSession is spark:
             df.unpersist()
             _shared.remove(df)
+    for table in _named.pop(spark, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     for path in _written.pop(spark, []):
         delete(spark, path)
 

@@ -6,10 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import require_none, violations
+from ..functions.text import content_hash
 
 _BLOCK = 8 * 1024 * 1024
 
@@ -20,6 +21,14 @@ def _uri(path: str) -> str:
     return "file://" + path.removeprefix("file:") if short else path
 
 
+def open_file(path: str):
+    """A stored file as a seekable stream."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(_uri(path))
+    return system.open_input_file(name)
+
+
 def file_digests(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, bytes, sha256) of stored files.
 
@@ -29,14 +38,11 @@ def file_digests(spark: SparkSession, *paths: str) -> DataFrame:
     listed = spark.read.format("binaryFile").load(list(paths)).select("path", "length")
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                system, name = fs.FileSystem.from_uri(_uri(path))
                 total = hashlib.sha256()
-                with system.open_input_stream(name) as stream:
+                with open_file(path) as stream:
                     while block := stream.read(_BLOCK):
                         total.update(block)
                 rows.append(total.hexdigest())
@@ -99,21 +105,33 @@ def row_hash(df: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
 
 
+def folded(digest: Column) -> list[Column]:
+    """Aggregates of a digest column whose concatenation does not depend on the rows' order.
+
+    Every digest is cut into eight 32-bit words that are summed, so folds combine map-side.
+    """
+    return [F.sum(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")) for i in range(8)]
+
+
 def fingerprint(rows: DataFrame, digest: Column | None = None) -> DataFrame:
-    """Order-free content fingerprint: row count and per-byte sums of the row digests.
+    """Order-free content fingerprint: row count and fold of the row digests."""
+    digest = row_hash(rows) if digest is None else digest
+    return rows.select(digest.alias("h")).agg(
+        F.count("*").alias("rows"), F.sha2(F.concat_ws("-", *folded(F.col("h"))), 256).alias("fingerprint")
+    )
+
 
-    Every digest is cut into eight 32-bit words that are summed, so the fingerprint combines
-    map-side and does not depend on how rows are spread over files.
+def content_digests(rows: DataFrame, name: str, part: Column, size: Column, digest: Column | None = None) -> DataFrame:
+    """(path, bytes, sha256) of a table's content by part, whatever files it lies in.
+
+    Row digests are folded map-side, one row a part and task is exchanged. The result is what
+    ``checksum_violations`` holds against a manifest.
     """
     digest = row_hash(rows) if digest is None else digest
-    words = [
-        F.sum(F.conv(F.substring(F.col("h"), 8 * i + 1, 8), 16, 10).cast("decimal(38,0)"))
-        for i in range(8)
-    ]
-    summed = rows.select(digest.alias("h")).agg(
-        F.count("*").alias("rows"), F.sha2(F.concat_ws("-", *words), 256).alias("fingerprint")
+    slim = rows.select(F.concat_ws("/", F.lit(name), part.cast("string")).alias("path"), size.alias("size"), digest.alias("h"))
+    return slim.groupBy("path").agg(
+        F.sum("size").alias("bytes"), F.sha2(F.concat_ws("-", F.count("*"), *folded(F.col("h"))), 256).alias("sha256")
     )
-    return summed
 
 
 def write_once(df: DataFrame, path: str, fmt: str = "json") -> None:
@@ -121,27 +139,51 @@ def write_once(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("errorifexists").format(fmt).save(path)
 
 
-def run_manifest(
-    config_json: str, trace: DataFrame, source_digests: DataFrame, questions: DataFrame
-) -> DataFrame:
-    """One row binding a run: config hash, trace and question fingerprints, source hashes."""
+def write_run(
+    trace: DataFrame, path: str, config_json: str, sources: DataFrame, order: tuple[str, ...] = ("interaction_id",),
+    digest: Column | None = None,
+) -> DataFrame:
+    """Write a trace once and bind it by a manifest gathered in the same pass; returns the manifest.
+
+    Counts and folds of row digests and of the ``order`` columns are observed while the rows are written
+    (by the task that writes them, so a lost or repeated task counts once). The manifest is the last
+    thing written: a write that fails leaves none, and a folder without one is no run. ``sources`` holds
+    the digests of the inputs, ``order`` the columns that fix the rows' places (place and id, say).
+    """
     spark = trace.sparkSession
-    config = spark.range(1).select(
-        F.lit(config_json).alias("config"), F.sha2(F.lit(config_json), 256).alias("config_sha256")
-    )
-    one = F.lit(1).alias("k")
-    prints = fingerprint(trace).select(
-        one, F.col("rows").alias("trace_rows"), F.col("fingerprint").alias("trace_fingerprint")
-    )
-    asked = fingerprint(questions.select("interaction_id")).select(
-        one, F.col("rows").alias("questions"), F.col("fingerprint").alias("question_fingerprint")
-    )
-    sources = fingerprint(source_digests).select(
-        one, F.col("fingerprint").alias("source_fingerprint")
+    digest = row_hash(trace) if digest is None else digest
+    place = content_hash(*order)
+    seen = Observation()
+    words = [(f"{name}{i}", w) for name, h in (("row", digest), ("place", place)) for i, w in enumerate(folded(h))]
+    watched = trace.observe(seen, F.count("*").alias("rows"), *[w.alias(name) for name, w in words])
+    write_once(watched, f"{path}/trace", "parquet")
+    got = seen.get
+    bound = fingerprint(sources).first()
+    fold = lambda name: "-".join(str(got[f"{name}{i}"] if got["rows"] else "") for i in range(8)).strip("-")
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    row = (config_json, sha(config_json), got["rows"], sha(fold("row")), sha(fold("place")), bound.rows, bound.fingerprint)
+    names = "config string, config_sha256 string, trace_rows long, trace_fingerprint string, order_fingerprint string, sources long, source_fingerprint string"
+    write_once(spark.createDataFrame([row], names).coalesce(1), f"{path}/manifest", "json")
+    return spark.read.schema(names).json(f"{path}/manifest")
+
+
+def run_violations(spark: SparkSession, path: str, order: tuple[str, ...] = ("interaction_id",), digest: Column | None = None) -> DataFrame:
+    """A stored run against its manifest: rows, content and order worked out again from the files."""
+    manifest = spark.read.json(f"{path}/manifest")
+    trace = spark.read.parquet(f"{path}/trace")
+    now = fingerprint(trace, digest).select(F.col("rows").alias("now_rows"), F.col("fingerprint").alias("now_rows_print"))
+    places = fingerprint(trace, content_hash(*order)).select(F.col("fingerprint").alias("now_order"))
+    joined = manifest.join(now, F.lit(True)).join(places, F.lit(True))  # one row each
+    return violations(
+        joined,
+        F.lit(path),
+        [
+            ("trace_rows_differ", F.col("now_rows") != F.col("trace_rows"), F.col("now_rows")),
+            ("trace_differs", F.col("now_rows_print") != F.col("trace_fingerprint"), F.col("now_rows")),
+            ("order_differs", F.col("now_order") != F.col("order_fingerprint"), F.col("now_rows")),
+            ("config_differs", F.sha2("config", 256) != F.col("config_sha256"), F.lit("config")),
+        ],
     )
-    return config.withColumn("k", F.lit(1)).join(prints, "k").join(asked, "k").join(
-        sources, "k"
-    ).drop("k")
 
 
 def import_once(spark: SparkSession, export_path: str, violations_found: DataFrame, output: str) -> None:
