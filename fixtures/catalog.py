@@ -312,6 +312,37 @@ def select_exact(spark: SparkSession, d: str) -> DataFrame:
     return _selection(spark, d, "exact")
 
 
+def _tokens(text: Column) -> Column:
+    """Words and single marks: a tokenizer that both engines have."""
+    return F.size(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t-\r])"), F.lit(1)))
+
+
+@query
+def token_budget_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The exhaustive optimum under a budget of tokens, counted by item and border."""
+    rows = selection.with_token_costs(_problems(spark, d), _tokens)
+    chosen = selection.select(rows, "exact", 2 * BUDGET, ITEMS, cost=selection.token_cost)
+    return chosen.select(
+        "interaction_id", F.array_join("selected_ids", ",").alias("selected"), "context_cost", _r("objective").alias("objective")
+    )
+
+
+@query
+def grouped_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The optimum when neighbouring requirements belong together and alike candidates contradict each other."""
+    rows = _problems(spark, d)
+    last = F.least(F.size("requirements"), F.lit(4)) - 2
+    groups = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.array(k, k + 1)))
+    clash = F.transform("similarity", lambda row, i: F.transform(row, lambda v, j: F.when((i != j) & (v > 0.2), 0.5).otherwise(0.0)))
+    bent = rows.withColumn("groups", F.coalesce(groups, F.array().cast("array<array<int>>"))).withColumn("conflict", clash)
+    chosen = selection.select(bent, "exact", BUDGET, ITEMS)
+    parts = ("relevance", "coverage", "complementarity", "redundancy", "conflict")
+    return chosen.select(
+        "interaction_id", F.array_join("selected_ids", ",").alias("selected"), _r("objective").alias("objective"),
+        *[_r(F.col(f"components.{p}")).alias(p) for p in parts],
+    )
+
+
 def _all_methods(spark: SparkSession, d: str) -> DataFrame:
     return share(selection.select_all(_problems(spark, d), BUDGET, ITEMS))
 
@@ -649,6 +680,25 @@ def entity_symbols(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def named_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that name a benchmark item by its first three words, by one join with all such names."""
+    names = V.table(spark, d, "benchmark").select(
+        F.substring_index("text", " ", 3).alias("alias"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("symbol")
+    )
+    docs = V.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("interaction_id"), F.col("text").alias("query"))
+    return asof.named_entities(docs, names)
+
+
+@query
+def query_time_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Question times, some in another format or on days that do not exist."""
+    n = F.col("event_id")
+    asked = F.when(n % 9 == 0, F.regexp_replace("query_time", "/", "-")).when(n % 9 == 1, F.regexp_replace("query_time", "^01/", "02/3"))
+    bent = V.price_questions(spark, d).withColumn("query_time", asked.when(n % 9 == 2, F.substring("query_time", 1, 10)).otherwise(F.col("query_time")))
+    return routing.question_violations(bent).select("location", "rule")
+
+
 @query
 def expansion_symbols(spark: SparkSession, d: str) -> DataFrame:
     return asof.expansion_symbols(V.price_questions(spark, d), V.prices(spark, d))

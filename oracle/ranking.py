@@ -288,3 +288,32 @@ UNION ALL SELECT interaction_id || '/coverage', 'unknown_selection',
 FROM s_every WHERE method = 'coverage' AND selected <> ''
 UNION ALL SELECT interaction_id || '/top_k', 'selection_missing', 'no row'
 FROM s_every WHERE method = 'top_k' AND CAST(substring(interaction_id, 2) AS BIGINT) % 3 = 0""")
+
+_TOKENS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t-\r]"
+CTES["t_item"] = f"""
+SELECT * REPLACE (len(regexp_extract_all('[' || evidence_id || '] web ' || page_url || chr(10) || content, '{_TOKENS}')) AS cost)
+FROM s_item"""
+CTES["t_sub"] = CTES["s_sub"].replace("s_item", "t_item")
+ORACLE["token_budget_selection"] = compose("""
+SELECT interaction_id, selected, CAST(cost AS INTEGER) AS context_cost, round(objective, 6) AS objective
+FROM (SELECT *, 0.2::DOUBLE * relevance + 0.6::DOUBLE * coverage - 0.1::DOUBLE * redundancy AS objective
+  FROM t_sub WHERE cost <= 300)
+QUALIFY row_number() OVER (PARTITION BY interaction_id ORDER BY round(objective, 9) DESC, cost, ids) = 1""")
+CTES["g_sub"] = """
+SELECT s.*, len(n.need) AS needs, coalesce((SELECT list(x.support) FROM s_item x
+    WHERE x.interaction_id = s.interaction_id AND list_contains(s.ids, x.i)), []) AS sups,
+  coalesce((SELECT count(*) FROM s_pair p WHERE p.interaction_id = s.interaction_id AND p.value > 0.2
+    AND list_contains(s.ids, p.i) AND list_contains(s.ids, p.j)), 0) * 0.5::DOUBLE / 3 AS conflict
+FROM s_sub s JOIN s_need n USING (interaction_id) WHERE cost <= 150"""
+CTES["g_rated"] = """
+SELECT *, len(list_filter(range(1, least(needs, 4)), lambda k:
+    len(list_filter(sups, lambda v: v[k] = 1)) > 0 AND len(list_filter(sups, lambda v: v[k + 1] = 1)) > 0
+    AND len(list_filter(sups, lambda v: v[k] = 1 AND v[k + 1] = 1)) = 0))::DOUBLE
+  / greatest(1, least(needs, 4) - 1) AS complementarity FROM g_sub"""
+ORACLE["grouped_selection"] = compose("""
+SELECT interaction_id, selected, round(objective, 6) AS objective, round(relevance, 6) AS relevance,
+  round(coverage, 6) AS coverage, round(complementarity, 6) AS complementarity, round(redundancy, 6) AS redundancy,
+  round(conflict, 6) AS conflict
+FROM (SELECT *, 0.2::DOUBLE * relevance + 0.6::DOUBLE * coverage + 0.2::DOUBLE * complementarity
+    - 0.1::DOUBLE * redundancy - 0.5::DOUBLE * conflict AS objective FROM g_rated)
+QUALIFY row_number() OVER (PARTITION BY interaction_id ORDER BY round(objective, 9) DESC, cost, ids) = 1""")

@@ -242,3 +242,13 @@ SELECT interaction_id, policy, CASE WHEN policy = 'all_available' OR (policy = '
     AND interaction_id IN (SELECT interaction_id FROM e_hint WHERE name = 'finance_prices'))
   THEN 'finance_prices:640,web:640' ELSE 'web:1280' END AS allocations
 FROM e_evidence, (VALUES ('fixed_web'), ('all_available'), ('adaptive')) p(policy)""")
+
+ORACLE["named_entities"] = f"""
+WITH a AS (SELECT 'B' || item_id AS symbol,
+    {terms("array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ')")} AS w FROM benchmark),
+k AS (SELECT DISTINCT array_to_string(w, ' ') AS key, symbol FROM a WHERE len(w) > 0),
+g AS (SELECT doc_id, unnest(list_transform(range(0, len(w) - n + 1), lambda i: array_to_string(list_slice(w, i + 1, i + n), ' '))) AS key
+  FROM (SELECT doc_id, {terms('text')} AS w FROM documents), (SELECT DISTINCT len(w) AS n FROM a) r WHERE n > 0 AND len(w) >= n)
+SELECT DISTINCT 'd' || doc_id AS interaction_id, symbol FROM g JOIN k USING (key)"""
+ORACLE["query_time_violations"] = """
+SELECT 'e' || event_id AS location, 'query_time_format' AS rule FROM events WHERE event_id % 9 IN (0, 1, 2)"""

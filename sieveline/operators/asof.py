@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import violations
-from ..functions.text import asked_date, bounded, casefold, content_hash, let, query_date
+from ..functions.text import asked_date, bounded, casefold, content_hash, let, terms
 from .routing import CAPABILITY, source_hints
 
 # What a prior-close question must say, must not say, and how it names a ticker.
@@ -104,32 +103,6 @@ def prior_close_evidence(requests: DataFrame, prices: DataFrame, snapshot: str)
     )
 
 
-def evidence_violations(evidence: DataFrame) -> DataFrame:
-    """Evidence that is ambiguous for its request, of another day, or not yet known."""
-    keyed = evidence.groupBy(
-        "interaction_id", "requested_date", "available_as_of"
-    ).agg(
-        F.count("*").alias("n"),
-        F.bool_or(
-            F.substring("row_timestamp", 1, 10)
-            != F.date_format("requested_date", "yyyy-MM-dd")
-        ).alias("other_day"),
-    )
-    return violations(
-        keyed,
-        F.col("interaction_id"),
-        [
-            ("ambiguous_daily_rows", F.col("n") > 1, F.col("n")),
-            ("row_of_another_day", F.col("other_day"), F.col("requested_date")),
-            (
-                "not_before_availability",
-                F.col("requested_date") >= F.col("available_as_of"),
-                F.col("requested_date"),
-            ),
-        ],
-    )
-
-
 def evidence_identity() -> Column:
     """Content-addressed id of a structured evidence row."""
     return content_hash("ticker", "requested_date", "row_timestamp", "content", "source_ref")
@@ -148,6 +121,39 @@ def entity_symbols(query: Column | str) -> Column:
     return let(F.lower(query), found)
 
 
+def alias_dictionary(aliases: DataFrame) -> tuple[DataFrame, int]:
+    """((key, symbol), longest alias in words) of a table (alias, symbol).
+
+    Aliases are reduced to their words, folded and joined by single spaces; that key is what question
+    n-grams are joined with. An alias without a word names nothing and is left out.
+    """
+    words = terms("alias")
+    keyed = aliases.where(F.size(words) > 0).select(F.array_join(words, " ").alias("key"), "symbol", F.size(words).alias("n"))
+    longest = keyed.agg(F.max("n")).first()[0] or 0
+    return keyed.select("key", "symbol").distinct(), longest
+
+
+def named_entities(questions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(interaction_id, symbol) for every alias that a question holds as whole words.
+
+    The question's word n-grams up to the longest alias meet the dictionary in one equi-join, so its
+    size does not matter to the question row and no pattern is tried for each alias.
+    """
+    dictionary, longest = alias_dictionary(aliases)
+    if not longest:
+        return questions.select("interaction_id", F.lit("").alias("symbol")).limit(0)
+
+    def grams(words: Column) -> Column:
+        of = lambda n: F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: i + n <= F.size(words)),
+            lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "),
+        )
+        return F.array_distinct(F.concat(*[of(n) for n in range(1, longest + 1)]))
+
+    asked = questions.select("interaction_id", F.explode(let(terms("query"), grams)).alias("key"))
+    return asked.join(dictionary, "key").select("interaction_id", "symbol").distinct()
+
+
 def expansion_symbols(questions: DataFrame, inventory: DataFrame) -> DataFrame:
     """(interaction_id, ticker) for exact inventory words in price-hinted questions."""
     hinted = questions.where(price_hinted("query"))
@@ -162,59 +168,68 @@ def price_hinted(query: Column | str) -> Column:
     return F.exists(source_hints(query), lambda h: h["name"] == "finance_prices")
 
 
+def _roles(questions: DataFrame) -> DataFrame:
+    """(interaction_id, role, ticker, date) for every ticker a question may mean, as one tall table."""
+    day = asked_date("query_time")
+    words = F.regexp_extract_all(F.upper("query"), F.lit(f"({bounded(TICKER_WORD)})"), F.lit(1))
+    none = F.array().cast("array<string>")
+
+    def role(name: str, tickers: Column, day: Column) -> Column:
+        return F.transform(
+            tickers, lambda t: F.struct(F.lit(name).alias("role"), t.alias("ticker"), day.alias("date"))
+        )
+
+    entities = entity_symbols("query")
+    named = F.concat(
+        role("entity", F.when(F.size(entities) == 1, entities).otherwise(none), day),
+        role("expansion", F.when(price_hinted("query"), F.array_distinct(words)).otherwise(none), day),
+        role("prior", F.when(prior_close_intent("query"), possessive_tickers("query")).otherwise(none), F.date_sub(day, 1)),
+    )
+    return questions.select("interaction_id", F.explode(named).alias("r")).select("interaction_id", "r.*")
+
+
 def price_eligibility(
     questions: DataFrame, prices: DataFrame, snapshot: str
 ) -> tuple[DataFrame, DataFrame]:
     """Per-question eligibility details and their totals.
 
-    Details: hinted, single known entity, its same-day availability, single expansion
-    candidate with a same-day row, and the prior-close request with or without evidence.
+    Details: hinted, single known entity, its same-day availability, single expansion candidate with a
+    same-day row, and the prior-close request with or without evidence. Every ticker a question may mean
+    is a row of a tall table, which meets the price days once; its roles are folded back by one
+    grouping, where a role with two known tickers is ambiguous and counts as none. An unreadable question
+    time, two price rows of one day or a row stamped with another day stop the query.
     """
-    inventory = prices.select("ticker").distinct()
-    days = prices.select("ticker", "date").distinct()
+    stamped = F.substring("row_timestamp", 1, 10).eqNullSafe(F.date_format("date", "yyyy-MM-dd"))
+    broken = F.concat(F.lit("not one price row of its own day: "), "ticker", F.lit(" "), F.col("date").cast("string"))
+    days = prices.groupBy("ticker", "date").agg(F.count("*").alias("n"), F.bool_and(stamped).alias("own_day")).select(
+        "ticker", F.struct(
+            "date", F.when((F.col("n") > 1) | ~F.col("own_day"), F.raise_error(broken).cast("boolean")).otherwise(F.lit(True)).alias("sound")
+        ).alias("day"),
+    )
+    # One row per ticker; its days are as many as a history has and do not grow with the questions.
+    histories = days.groupBy("ticker").agg(F.map_from_entries(F.collect_list("day")).alias("days"))
+    tall = _roles(questions).join(histories, "ticker").select(
+        "interaction_id", "role", "ticker", F.coalesce(F.element_at("days", F.col("date")), F.lit(False)).alias("has_day")
+    )
+    pick = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    many = lambda role: F.count_if(F.col("role") == role)
+    folded = tall.groupBy("interaction_id").agg(
+        pick("entity", "has_day").alias("date_eligible"),
+        F.when((many("expansion") == 1) & pick("expansion", "has_day"), pick("expansion", "ticker")).alias("expansion_ticker"),
+        F.when(many("prior") == 1, pick("prior", "ticker")).alias("prior_close_ticker"),
+        ((many("prior") == 1) & pick("prior", "has_day")).alias("prior_close_supported"),
+    )
     base = questions.select(
         "interaction_id",
-        query_date("query_time").alias("date"),
+        asked_date("query_time").alias("date"),
         price_hinted("query").alias("price_hinted"),
-        entity_symbols("query").alias("entities"),
-    )
-    single = base.where(F.size("entities") == 1).select(
-        "interaction_id", "date", F.get("entities", F.lit(0)).alias("ticker")
-    )
-    current = single.join(days, ["ticker", "date"], "left_semi").select(
-        "interaction_id", F.lit(True).alias("date_eligible")
+        (F.size(entity_symbols("query")) == 1).alias("single_entity"),
     )
-    candidates = (
-        expansion_symbols(questions, inventory)
-        .groupBy("interaction_id")
-        .agg(F.count("*").alias("n"), F.min("ticker").alias("ticker"))
-        .where(F.col("n") == 1)
-        .join(base.select("interaction_id", "date"), "interaction_id")
-        .join(days, ["ticker", "date"], "left_semi")
-        .select("interaction_id", F.col("ticker").alias("expansion_ticker"))
-    )
-    requests = prior_close_requests(questions, inventory)
-    supported = prior_close_evidence(requests, prices, snapshot).select(
-        "interaction_id", F.lit(True).alias("prior_close_supported")
-    )
-    prepared = requests.select("interaction_id", F.col("ticker").alias("prior_close_ticker"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    detail = (
-        base.join(current, "interaction_id", "left")
-        .join(candidates, "interaction_id", "left")
-        .join(prepared, "interaction_id", "left")
-        .join(supported, "interaction_id", "left")
-        .select(
-            "interaction_id",
-            "date",
-            "price_hinted",
-            (F.size("entities") == 1).alias("single_entity"),
-            yes("date_eligible"),
-            "expansion_ticker",
-            "prior_close_ticker",
-            yes("prior_close_supported"),
-        )
-    )
+    detail = base.join(folded, "interaction_id", "left").select(
+        "interaction_id", "date", "price_hinted", "single_entity", yes("date_eligible"), "expansion_ticker",
+        "prior_close_ticker", yes("prior_close_supported"),
+    )
     totals = detail.agg(
         F.count("*").alias("questions"),
         F.count_if("price_hinted").alias("price_hinted_questions"),

@@ -105,9 +105,10 @@ def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("interaction_id",))
     """Best ``k`` rows of each group with their 1-based rank.
 
     The rank filter becomes a group limit below the exchange: each task ships at most ``k``
-    rows of a group, however large the group is.
+    rows of a group, however large the group is. A missing or non-finite score stops the query.
     """
     require(is_int(k) and k >= 1, "k must be positive")
+    scored = scored.withColumn("score", finite_score())
     window = Window.partitionBy(*by).orderBy(*rank_order())
     return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
@@ -117,9 +118,11 @@ def full_rank(scored: DataFrame, by: str = "interaction_id") -> DataFrame:
 
     Range partitions follow (group, order), so a hot group spans many of them. Ranks are
     local row numbers plus the rows in the group's earlier partitions; the layout is written
-    out first because partition numbers must not change between the two reads.
+    out first because partition numbers must not change between the two reads. A missing or
+    non-finite score stops the query.
     """
     order = rank_order()
+    scored = scored.withColumn("score", finite_score())
     laid = pin(scored.repartitionByRange(F.col(by), *order)).withColumn(
         "part", F.spark_partition_id()
     )

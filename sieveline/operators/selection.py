@@ -183,28 +183,40 @@ def priced(rows: DataFrame) -> DataFrame:
     return rows.withColumn("words", F.transform("candidates", lambda c: word_count(rendered_item(c))))
 
 
-def with_token_costs(rows: DataFrame, tokens: Callable, max_items: int) -> DataFrame:
-    """Attach the exact cost of every subset, measured by a vectorised tokenizer UDF.
-
-    ``tokens`` maps a text column to a token count column. The pool bound keeps this at no
-    more than a few thousand short texts per question.
+def with_token_costs(rows: DataFrame, tokens: Callable[[Column], Column]) -> DataFrame:
+    """Attach what ``token_cost`` adds up: the tokens of each rendered item, and for each two items what
+    their common text has more or less than both alone.
+
+    ``tokens`` maps a text column to a token count column, a vectorised UDF for instance. It sees every
+    item and every ordered pair once, whatever the number of subsets. The sum is the tokenizer's own
+    count for any subset as long as a token does not reach across a whole item, which holds for
+    tokenizers that split texts at white space first.
     """
-    subsets = rows.select(
-        "interaction_id",
-        F.struct("candidates").alias("p"),
-        F.explode(_subsets(F.size("candidates"), max_items)).alias("chosen"),
-    )
-    costs = subsets.select(
-        "interaction_id", "chosen", tokens(chosen_text(F.col("p"), F.col("chosen"))).alias("cost")
+    at = F.posexplode(F.transform("candidates", rendered_item))
+    items = rows.select("interaction_id", at.alias("i", "text"))
+    counted = items.select("interaction_id", "i", "text", tokens(F.col("text")).cast("int").alias("n"))
+    pool = counted.groupBy("interaction_id").agg(F.array_sort(F.collect_list(F.struct("i", "text", "n"))).alias("pool"))
+    both = (
+        pool.select("interaction_id", F.explode("pool").alias("a"), "pool")
+        .select("interaction_id", "a", F.explode(F.filter("pool", lambda x: x["i"] > F.col("a.i"))).alias("b"))
+        .select("interaction_id", "a.i", F.col("b.i").alias("j"), F.concat("a.text", F.lit("\n\n"), "b.text").alias("text"), (F.col("a.n") + F.col("b.n")).alias("apart"))
     )
-    table = costs.groupBy("interaction_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("chosen", "cost"))).alias("costs")
+    border = both.select("interaction_id", "i", "j", (tokens(F.col("text")).cast("int") - F.col("apart")).alias("more"))
+    borders = border.groupBy("interaction_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.struct("i", "j"), "more"))).alias("borders")
     )
-    return rows.join(table, "interaction_id", "left")
+    counts = pool.select("interaction_id", F.transform("pool", lambda x: x["n"]).alias("counts"))
+    return rows.join(counts, "interaction_id", "left").join(borders, "interaction_id", "left")
 
 
-def table_cost(problem: Column, chosen: Column) -> Column:
-    return F.element_at(problem["costs"], chosen)
+def token_cost(problem: Column, chosen: Column) -> Column:
+    """Tokens of the rendered set from its items and the borders between neighbours; no text is rendered."""
+    own = F.aggregate(chosen, F.lit(0), lambda total, i: total + F.get(problem["counts"], i))
+    return F.aggregate(
+        F.transform(F.slice(chosen, F.lit(2), F.size(chosen)), lambda j, k: F.struct(F.get(chosen, k).alias("i"), j.alias("j"))),
+        own,
+        lambda total, pair: total + F.element_at(problem["borders"], pair),
+    )
 
 
 # ---- objective ------------------------------------------------------------------------

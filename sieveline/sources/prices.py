@@ -117,15 +117,6 @@ def price_coverage(prices: DataFrame, probe_date: Column) -> DataFrame:
     )
 
 
-def one_row_per_day(prices: DataFrame) -> DataFrame:
-    """Violations for (ticker, date) pairs that hold more than one row."""
-    repeated = prices.groupBy("ticker", "date").agg(F.count("*").alias("n"))
-    return violations(
-        repeated,
-        F.concat_ws("/", "ticker", "date"),
-        [("ambiguous_daily_rows", F.col("n") > 1, F.col("n"))],
-    )
-
 
 def daily_prices(ticks: DataFrame, by: tuple[str, str], order: tuple[str, ...]) -> DataFrame:
     """First and last tick value per key and day as open and close, combined map-side."""
