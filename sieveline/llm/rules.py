@@ -67,6 +67,11 @@ def repeated_words(words: Column) -> Column:
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc`` and the counts of its whole text; a null text counts as empty."""
+    return _with_counts(keyed_text(docs, id_col, text_col), "doc")
+
+
+def _with_counts(texts: DataFrame, carry: str) -> DataFrame:
+    """``carry`` and the counts of the text in ``body``."""
     body = F.coalesce("body", F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
 
@@ -87,17 +92,16 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return (F.length(body) - F.length(F.regexp_replace(body, pattern, ""))).cast("long")
 
     return (
-        keyed_text(docs, id_col, text_col)
-        .select(
-            "doc",
+        texts.select(
+            carry,
             let(words_of(F.col("body")), of_words).alias("w"),
             let(lines, of_lines).alias("l"),
             matches(r"[#*$%&|<>]++").alias("n_symbols"),
             matches(r"[A-Z]++").alias("n_upper"),
             matches("!++").alias("n_marks"),
         )
-        .select("doc", "w.*", "l.*", "n_symbols", "n_upper", "n_marks")
-        .select("doc", *COUNTS)
+        .select(carry, "w.*", "l.*", "n_symbols", "n_upper", "n_marks")
+        .select(carry, *COUNTS)
     )
 
 
@@ -299,9 +303,10 @@ def keep_good(
 ) -> DataFrame:
     """``docs`` without the rows that the base rules or the learned rules reject; same columns.
 
-    Equal ids with different texts are judged together: one rejected row rejects the id. A row with
-    a null id is judged by the base rules alone.
+    Every row is judged by its own text, also if its id is null or another row has it too. The counts
+    are worked out a second time beside the texts, which are filtered where they are and never moved.
     """
-    rated, _ = judged(docs.where(F.col(id_col).isNotNull()), labels, id_col, text_col)
-    bad = rated.where("not kept").select(F.col("doc").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+    _, learned = judged(docs, labels, id_col, text_col)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("body"))
+    good = _with_counts(whole, "row").where(~base_failed() & verdict(learned).isNull())
+    return good.select("row.*")

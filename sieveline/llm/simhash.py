@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, saved
+from .common import fresh, keyed_text, saved
 from .components import components
 from .shingles import Words, batches, xxh64
 
@@ -52,7 +52,7 @@ def _fingerprints(width: int, seed: int):
             found = [fingerprints_of(texts, width, seed) for texts in batches(t.as_py() for t in part.column(1))]
             prints = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array(prints.view(np.int64))], ["doc", "print"]
+                [part.column(0).cast(pa.int64()), part.column(2), pa.array(prints.view(np.int64))], ["doc", "mark", "print"]
             )
 
     return hashed
@@ -61,8 +61,9 @@ def _fingerprints(width: int, seed: int):
 def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42
 ) -> DataFrame:
-    """(doc, print): the 64-bit fingerprint of every whole text, as a signed long."""
-    return keyed_text(docs, id_col, text_col).mapInArrow(_fingerprints(width, seed), "doc long, print long")
+    """(doc, mark, print): the 64-bit fingerprint of every whole text, as a signed long; mark is its hash."""
+    keyed = keyed_text(docs, id_col, text_col).select("doc", "body", F.xxhash64("body").alias("mark"))
+    return keyed.mapInArrow(_fingerprints(width, seed), "doc long, mark long, print long")
 
 
 def links_of(prints: DataFrame) -> DataFrame:
@@ -110,6 +111,10 @@ def simhash_groups(
 
     Equal fingerprints are one node, so copies never meet in pairs; only numbers travel.
     """
+    return _grouped(docs, id_col, text_col, width, seed).select("doc", "print", "group")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int = 3, seed: int = 42) -> DataFrame:
     prints = saved(fingerprints(docs, id_col, text_col, width, seed))
     nodes = saved(prints.groupBy("print").agg(F.min("doc").alias("least")))
     roots = components(links_of(nodes.select("print")))
@@ -117,16 +122,21 @@ def simhash_groups(
         "print", "least", F.coalesce("root", "print").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("group"))
-    return prints.join(rooted.join(named, "root").select("print", "group"), "print").select("doc", "print", "group")
+    return prints.join(rooted.join(named, "root").select("print", "root", "group"), "print")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one that names it, its repeated rows once.
 
-    Rows without an id cannot be named and stay.
+    Rows with one id and different texts are documents of their own, each held against its own group;
+    if they are in one group, the text with the least hash stays. Rows without an id cannot be named and
+    stay. Texts move once, by id and hash of the text.
     """
-    named = simhash_groups(docs, id_col, text_col).where(F.col("doc") == F.col("group"))
-    kept = named.select(F.col("doc").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).union(
+    named = _grouped(docs, id_col, text_col).where(F.col("doc") == F.col("group"))
+    mark = fresh("mark")
+    first = named.groupBy("root").agg(F.min(F.struct("doc", "mark")).alias("one"))
+    kept = first.select(F.col("one.doc").alias(id_col), F.col("one.mark").alias(mark)).distinct()
+    marked = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
+    return marked.join(kept, [id_col, mark], "left_semi").dropDuplicates([id_col, mark]).select(docs.columns).union(
         docs.where(F.col(id_col).isNull())
     )

@@ -76,7 +76,7 @@ def test_simhash_groups(spark):
     kept = simhash.keep_one(documents(spark, rows))
     assert kept.columns == documents(spark).columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(least.values()))
+    assert sorted(i for i in ids if i is not None) == sorted(least.values())
     assert ids.count(None) == 2
     assert simhash.simhash_groups(no_documents(spark)).count() == 0
 
@@ -279,3 +279,39 @@ def test_most_calibrated_pairs_are_counted():
 
 def test_text_hash_is_the_jvm_one(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("abc"))).first()[0] % (1 << 64) == xxhash.xxh64_intdigest(b"abc", 42)
+
+
+def test_texts_over_16_megabytes_are_anchored_like_their_copies():
+    rng = np.random.default_rng(11)
+    period = rng.integers(97, 123, 60, np.uint8).tobytes()
+    passage = period * 10
+    long = bytearray(rng.integers(97, 123, (1 << 24) + 100_000, np.uint8).tobytes())
+    at = (1 << 24) - 300
+    long[at : at + 600] = passage
+    short = rng.integers(97, 123, 500, np.uint8).tobytes() + passage + rng.integers(97, 123, 500, np.uint8).tobytes()
+
+    def keys(text, low):
+        runs = suffixes.anchored_runs([text], 400)
+        first, last = runs["anchor"] - runs["far"], runs["anchor"] - runs["near"]
+        return {
+            p - low: (int(runs["bucket"][k]), int(runs["side"][k]), int(runs["anchor"][k]) - p)
+            for k in np.flatnonzero((last >= low) & (first <= low + 200))
+            for p in range(max(low, int(first[k])), min(low + 200, int(last[k])) + 1)
+        }
+
+    one, two = keys(bytes(long), at), keys(short, 500)
+    assert len(one) == len(two) == 201 and one == two
+
+
+def test_many_equal_rows_are_linear(spark):
+    text = prose(70, 300)
+    rows = [(1, text)] * 3000 + [(2, prose(71, 300))]
+    got = suffixes.remove_repeats(documents(spark, rows, extra=False)).collect()
+    assert len(got) == 3001
+    assert {(r.doc, r.n_removed == r.n_bytes, r.n_removed) for r in got} == {(1, True, len(text)), (2, False, 0)}
+
+
+def test_simhash_keeps_other_texts_of_one_id(spark):
+    rows = [(1, prose(80, 200)), (1, prose(81, 200)), (1, prose(81, 200)), (2, prose(80, 200)), (3, prose(82, 100))]
+    kept = simhash.keep_one(documents(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept)) == sorted({rows[0], rows[1], rows[4]})
