@@ -85,6 +85,24 @@ def _slices(texts: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]
 
 
 def anchored_runs(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
+    """``_anchored`` over the slices of the texts, a few at a time.
+
+    Ties between equal q-grams go to the leftmost by a position in the slices taken together, which has
+    24 bits; so these hold fewer bytes than that, and a text of any size is anchored like its copies.
+    """
+    taken: list[dict[str, np.ndarray]] = []
+    held, n = [], 0
+    for piece in _slices(texts, length):
+        if held and n + len(piece[2]) > int(_POSITION):
+            taken.append(_anchored(held, length))
+            held, n = [], 0
+        held.append(piece)
+        n += len(piece[2])
+    taken.append(_anchored(held, length))
+    return {name: np.concatenate([t[name] for t in taken]) for name in taken[0]}
+
+
+def _anchored(part: list[tuple[int, int, bytes]], length: int) -> dict[str, np.ndarray]:
     """Runs of string starts with one anchor: text, bucket, side, anchor, near, far, whole.
 
     The starts are anchor - far to anchor - near. ``side`` 0 has the strings with more of their bytes
@@ -94,7 +112,6 @@ def anchored_runs(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     # So that every string holds the bucket's bytes after its anchor, or before it, or both.
     q = (length + 1) // ((2 << _STEPS) - 1)
     size, width = q << _STEPS, length - q + 1
-    part = list(_slices(texts, length))
     names = ("text", "bucket", "side", "anchor", "near", "far", "whole")
     if not part:
         return {name: np.zeros(0, np.int64) for name in names}
@@ -110,8 +127,6 @@ def anchored_runs(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
         usable[low : low + n - length + 1] = True
     starts = np.flatnonzero(usable[: len(minima)])
     anchors = (minima[starts] & _POSITION).astype(np.int64)
-    if len(raw) > int(_POSITION):  # positions are kept modulo 2^24
-        anchors += (starts - anchors + int(_POSITION)) >> 24 << 24
     # The bucket's string starts at the anchor, or ends with the anchor's q-gram where the anchor is
     # far enough from the start for that and too far for the other.
     side = (anchors - starts > length - size).astype(np.int64)
@@ -336,8 +351,9 @@ def remove_repeats(
         F.coalesce(F.col("doc").cast("long"), no_id).alias("doc"), F.xxhash64("body").alias("mark"), "body"
     )
     ranges = repeated_starts(keyed, length)
-    gathered = ranges.groupBy("doc", "mark").agg(
-        F.collect_list("low").alias("low"), F.collect_list("high").alias("high")
+    # Repeated rows have equal ranges, and each row gets them once.
+    gathered = ranges.groupBy("doc", "mark").agg(F.collect_set(F.struct("low", "high")).alias("found")).select(
+        "doc", "mark", F.col("found.low").alias("low"), F.col("found.high").alias("high")
     )
     cleaned = keyed.join(gathered, ["doc", "mark"], "left").mapInArrow(
         _cleaned(length),
