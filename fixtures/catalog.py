@@ -333,7 +333,7 @@ def grouped_selection(spark: SparkSession, d: str) -> DataFrame:
     rows = _problems(spark, d)
     last = F.least(F.size("requirements"), F.lit(4)) - 2
     groups = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.array(k, k + 1)))
-    clash = F.transform("similarity", lambda row, i: F.transform(row, lambda v, j: F.when((i != j) & (v > 0.2), 0.5).otherwise(0.0)))
+    clash = F.transform("similarity", lambda row, i: F.transform(row, lambda v, j: F.when((i != j) & (v > 0.02), 0.1).otherwise(0.0)))
     bent = rows.withColumn("groups", F.coalesce(groups, F.array().cast("array<array<int>>"))).withColumn("conflict", clash)
     chosen = selection.select(bent, "exact", BUDGET, ITEMS)
     parts = ("relevance", "coverage", "complementarity", "redundancy", "conflict")

@@ -302,8 +302,8 @@ QUALIFY row_number() OVER (PARTITION BY interaction_id ORDER BY round(objective,
 CTES["g_sub"] = """
 SELECT s.*, len(n.need) AS needs, coalesce((SELECT list(x.support) FROM s_item x
     WHERE x.interaction_id = s.interaction_id AND list_contains(s.ids, x.i)), []) AS sups,
-  coalesce((SELECT count(*) FROM s_pair p WHERE p.interaction_id = s.interaction_id AND p.value > 0.2
-    AND list_contains(s.ids, p.i) AND list_contains(s.ids, p.j)), 0) * 0.5::DOUBLE / 3 AS conflict
+  coalesce((SELECT count(*) FROM s_pair p WHERE p.interaction_id = s.interaction_id AND p.value > 0.02
+    AND list_contains(s.ids, p.i) AND list_contains(s.ids, p.j)), 0) * 0.1::DOUBLE / 3 AS conflict
 FROM s_sub s JOIN s_need n USING (interaction_id) WHERE cost <= 150"""
 CTES["g_rated"] = """
 SELECT *, len(list_filter(range(1, least(needs, 4)), lambda k:
