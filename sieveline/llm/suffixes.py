@@ -88,18 +88,21 @@ def anchored_runs(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
     """``_anchored`` over the slices of the texts, a few at a time.
 
     Ties between equal q-grams go to the leftmost by a position in the slices taken together, which has
-    24 bits; so these hold fewer bytes than that, and a text of any size is anchored like its copies.
+    24 bits; so these hold about one full slice, and a text of any size is anchored like its copies in
+    little memory.
     """
     taken: list[dict[str, np.ndarray]] = []
     held, n = [], 0
     for piece in _slices(texts, length):
-        if held and n + len(piece[2]) > int(_POSITION):
+        if held and n + len(piece[2]) > _SLICE + length:
             taken.append(_anchored(held, length))
             held, n = [], 0
         held.append(piece)
         n += len(piece[2])
     taken.append(_anchored(held, length))
-    return {name: np.concatenate([t[name] for t in taken]) for name in taken[0]}
+    if len(taken) == 1:
+        return taken[0]
+    return {name: np.concatenate([t.pop(name) for t in taken]) for name in list(taken[0])}
 
 
 def _anchored(part: list[tuple[int, int, bytes]], length: int) -> dict[str, np.ndarray]:
