@@ -27,9 +27,10 @@ def test_routing_audit_reports_an_unknown_question_once(spark):
         5 evidence_budget, 1 reserved_tokens, 6 total_budget, 1 max_source_calls, 'not_executed' execution_status"""
     )
     eligible = spark.sql("select 'other' interaction_id, array('web') eligible, map('x', 'unavailable') reasons")
-    assert found(A.routing_audit(plans, eligible)) == {("gone/adaptive", "question_unknown")}
+    one = ("adaptive",)
+    assert found(A.routing_audit(plans, eligible, one)) == {("gone/adaptive", "question_unknown"), ("other/adaptive", "plan_missing")}
     known = eligible.withColumn("interaction_id", F.lit("gone"))
-    assert found(A.routing_audit(plans, known)) == set()
+    assert found(A.routing_audit(plans, known, one)) == set()
 
 
 def test_span_audit_of_unknown_pages(spark):
