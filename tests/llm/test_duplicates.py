@@ -315,3 +315,70 @@ def test_simhash_keeps_other_texts_of_one_id(spark):
     rows = [(1, prose(80, 200)), (1, prose(81, 200)), (1, prose(81, 200)), (2, prose(80, 200)), (3, prose(82, 100))]
     kept = simhash.keep_one(documents(spark, rows)).select("doc_id", "text").collect()
     assert sorted(map(tuple, kept)) == sorted({rows[0], rows[1], rows[4]})
+
+
+def test_distinct_tokens_of_stretches():
+    rng = np.random.default_rng(21)
+    for kinds in (2, 9, 1000):
+        tokens = rng.integers(0, kinds, 150).astype(np.uint64)
+        wanted = [len(set(tokens[p : p + 46].tolist())) for p in range(105)]
+        assert passages._distinct_tokens(tokens, 46).tolist() == wanted
+    assert len(passages._distinct_tokens(tokens[:20], 46)) == 0
+
+
+def test_spans_between_many_changes_are_found():
+    # No cut at a widest gap finds these: a change in every 32 tokens, so any two stretches beside one are similar.
+    rng = np.random.default_rng(22)
+    earlier = rng.integers(0, 1 << 40, 300).astype(np.uint64)
+    later = earlier.copy()
+    for at in range(10, 290, 32):
+        later[at : at + 5] = rng.integers(1 << 41, 1 << 42, 5)
+    spans = passages.similar_spans(later, earlier, 46, 0.8)
+    assert {p for a, b in spans for p in range(a, b)} >= set(range(15, 300))
+    for a, b in spans:
+        common = len(set(later[a:b].tolist()) & set(earlier[a:b].tolist()))
+        assert common >= 0.8 * (2 * (b - a) - common)
+
+
+def test_changes_at_the_edge_of_a_shortest_passage():
+    rng = np.random.default_rng(23)
+    earlier, later = (rng.integers(0, 1 << 40, 60).astype(np.uint64) for _ in range(2))
+    later[9:50] = earlier[9:50]  # 41 of 46 tokens, 41 / 51
+    spans = passages.similar_spans(later, earlier, 46, 0.8)
+    assert len(spans) == 1 and spans[0][0] <= 9 and spans[0][1] >= 50 and spans[0][1] - spans[0][0] == 46
+    later[49] = 0
+    assert passages.similar_spans(later, earlier, 46, 0.8) == []
+
+
+def test_runs_of_one_word_need_a_passage_on_both_sides():
+    run, rng = np.full(80, 7, np.uint64), np.random.default_rng(24)
+    rest = rng.integers(100, 1 << 40, 120).astype(np.uint64)
+    assert passages.similar_spans(run, np.concatenate([rest[:50], run[:20], rest[50:]]), 46, 0.8) == []
+    assert passages.similar_spans(run, np.concatenate([rest[:50], run[:60], rest[50:]]), 46, 0.8)
+
+
+def test_candidates_are_all_windows_with_enough_common_tokens():
+    rng = np.random.default_rng(25)
+    base = rng.integers(0, 1 << 60, (6, 91)).astype(np.uint64)
+    rows = []
+    for key in range(6):
+        for doc in range(int(rng.integers(2, 40))):
+            tokens = base[key].copy()
+            for at in rng.integers(0, 91, int(rng.integers(0, 5))):
+                tokens[at : at + 5] = rng.integers(0, 1 << 60, 5)[: 91 - at]
+            around, need = passages.surroundings(tokens, *(np.array([45]) for _ in range(3)), 46)
+            rows.append((key, doc, around[0], int(need[0]), tokens))
+    group = {
+        "key": np.array([r[0] for r in rows]), "doc": np.array([r[1] for r in rows]),
+        "around": np.stack([r[2] for r in rows]), "need": np.array([r[3] for r in rows], np.int32),
+        "open": np.ones(len(rows), bool),
+    }
+    got = {(i, j) for i, j, _ in passages.best_earlier(group, 0, 1000)}
+    wanted = set()
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            most = max(len(set(a[4].tolist()) & set(b[4][p : p + 46].tolist())) for p in range(46))
+            if a[0] == b[0] and most >= 41:
+                wanted.add((i, j))
+    assert wanted and got >= wanted
+    assert len(got - wanted) <= len(wanted) // 10  # tokens that share their 16 bits
