@@ -53,7 +53,8 @@ def _page_rows(spark: SparkSession, d: str, owner: Column, index: Column) -> Dat
     web = table(spark, d, "pages")
     n_pages = web.count()
     docs = table(spark, d, "documents")
-    keyed = fan_out(docs, "doc_id").withColumn("page_id", F.col("doc_id") % n_pages)
+    # dealt by the key of the join, so that a large table of addresses does not move the texts again
+    keyed = fan_out(docs.withColumn("page_id", F.col("doc_id") % n_pages), "page_id")
     return keyed.join(web.select("page_id", "url"), "page_id").select(
         owner.alias("interaction_id"),
         index.cast("int").alias("page_index"),
@@ -76,6 +77,24 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _texts(spark: SparkSession, d: str, n: int, prefix: str) -> DataFrame:
+    """Texts of the pages where they are stored: what a lookup by page needs, without address or exchange."""
+    return table(spark, d, "documents").select(
+        F.concat(F.lit(prefix), (F.col("doc_id") % n).cast("string")).alias("interaction_id"),
+        F.expr(f"doc_id div {n}").cast("int").alias("page_index"),
+        F.substring("text", 1, 200).alias("page_snippet"),
+        F.col("text").alias("page_result"),
+    )
+
+
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, table(spark, d, "benchmark").count(), "q")
+
+
+def desk_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(spark, d, table(spark, d, "events").agg(F.max("user_id") + 1).first()[0], "u")
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "embedding", "label")
 

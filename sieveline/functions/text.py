@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 SPACE = (
     r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 )
-# One run of non-space characters; the printable ASCII branch keeps the common case cheap.
-TOKEN = rf"(?:[\x21-\x7E]++|[^{SPACE}])++"
+# A class of so many ranges is slow to try, so each use is guarded by a short one: no printable ASCII
+# character is looked up among the spaces, and no plain space among the other characters.
+_PLAIN_SPACE = r"[\x09-\x0D\x1C-\x20]"
+GAP = rf"(?:{_PLAIN_SPACE}|(?![\x21-\x7E])[{SPACE}])*+"
+# One run of non-space characters.
+TOKEN = rf"(?:[\x21-\x7E]+|(?!{_PLAIN_SPACE})[^{SPACE}])++"
 WORD = r"[\p{L}\p{N}_]"
 BOUNDARY_LEFT = rf"(?<!{WORD})"
 BOUNDARY_RIGHT = rf"(?!{WORD})"
@@ -62,7 +66,8 @@ def casefold(text: Column | str) -> Column:
     Folding is lower(upper(x)) except where the round trip is not the identity on folded
     text: dotless i, capital and final sigma, sharp s and Cherokee. Private-use characters
     carry the first two through the round trip. Below U+0149, apart from the micro sign, only
-    sharp s folds differently from lower case.
+    sharp s folds differently from lower case. Text without any character of several bytes needs
+    neither, which its two lengths tell without a pattern.
     """
     text = col(text)
     upper = F.upper(F.translate(text, "ı", "\ue000"))
@@ -73,7 +78,10 @@ def casefold(text: Column | str) -> Column:
         "ıσσ" + _CHEROKEE_UPPER,
     )
     latin = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    return F.when(text.rlike(r"[^\x00-\xB4\xB6-\u0148]"), folded).otherwise(latin)
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).when(
+        text.rlike(r"[^\x00-\xB4\xB6-\u0148]"), folded
+    ).otherwise(latin)
 
 
 def strip(text: Column | str) -> Column:

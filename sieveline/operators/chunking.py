@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import is_int, require
-from ..functions.text import SPACE, TOKEN, content_hash, let, word_count
+from ..functions.text import GAP, SPACE, TOKEN, content_hash, let, word_count
 
 FIELDS = ("page_result", "page_snippet")
 
@@ -18,15 +18,12 @@ _PREFIX_BLOCK = 128
 
 
 def _pieces(text: Column, chunk_words: int) -> Column:
-    """Consecutive slices of the text that hold ``chunk_words`` words each, leading space kept."""
-    words = F.regexp_extract_all(text, F.lit(f"([{SPACE}]*+{TOKEN})"), F.lit(1))
-    return let(
-        words,
-        lambda found: F.transform(
-            _every(F.size(found), chunk_words),
-            lambda i: F.array_join(F.slice(found, i + 1, F.lit(chunk_words)), ""),
-        ),
-    )
+    """Consecutive slices of the text that hold ``chunk_words`` words each, leading space kept.
+
+    One match is one slice: nothing is made for the single word, and the possessive runs never step back.
+    """
+    words = f"((?:{GAP}{TOKEN}){{1,{chunk_words}}}+)"
+    return F.regexp_extract_all(text, F.lit(words), F.lit(1))
 
 
 def _every(size: Column, step: int) -> Column:

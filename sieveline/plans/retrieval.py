@@ -42,14 +42,16 @@ def score_pages(
     Pages that carry their question's ``q_terms`` (``asked_pages``) are chunked where they are;
     others meet the terms first, in salts for heavy questions. From there to the counted features
     everything is narrow. The features are read twice (statistics, then scores), so these slim rows
-    are kept rather than tokenising every page again.
+    are kept rather than tokenising every page again. The statistics, a row for each question, are worked
+    out before the scores, so that the planner knows their size and leaves the features where they are.
     """
     if "q_terms" not in pages.columns:
         asked = questions.select("interaction_id", query_terms("query").alias("q_terms"))
         pages = salted_join(pages, asked, "interaction_id", "page_index")
     chunks = web_chunks(pages, chunk_words, ("q_terms",))
     features = share(term_features(chunks.drop("source_title", "source_time")))
-    statistics = pool_statistics(features)
+    statistics = share(pool_statistics(features))
+    statistics.count()
     return Scored(bm25_scores(features, statistics, k1, b), statistics)
 
 
@@ -59,8 +61,13 @@ def asked_pages(records: DataFrame) -> DataFrame:
 
 
 def ranked_pool(scored: Scored, pages: DataFrame, size: int) -> DataFrame:
-    """Top candidates per question with text and normalised relevance."""
-    pool = normalised_relevance(top_k(scored.chunks.drop("n_candidates", "n_terms"), size))
+    """Top candidates per question with text and normalised relevance.
+
+    The candidates are worked out before their texts are asked for: with their size known, the planner
+    sends few of them to the pages instead of exchanging the pages.
+    """
+    pool = share(normalised_relevance(top_k(scored.chunks.drop("n_candidates", "n_terms"), size)))
+    pool.count()
     return with_content(pool, pages)
 
 
