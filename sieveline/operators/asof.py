@@ -121,34 +121,33 @@ def entity_symbols(query: Column | str) -> Column:
     return let(F.lower(query), found)
 
 
-def alias_dictionary(aliases: DataFrame) -> tuple[DataFrame, int]:
-    """((key, symbol), longest alias in words) of a table (alias, symbol).
+def alias_dictionary(aliases: DataFrame) -> tuple[DataFrame, list[int]]:
+    """((key, symbol), the numbers of words that aliases have) of a table (alias, symbol).
 
     Aliases are reduced to their words, folded and joined by single spaces; that key is what question
     n-grams are joined with. An alias without a word names nothing and is left out.
     """
     words = terms("alias")
     keyed = aliases.where(F.size(words) > 0).select(F.array_join(words, " ").alias("key"), "symbol", F.size(words).alias("n"))
-    longest = keyed.agg(F.max("n")).first()[0] or 0
-    return keyed.select("key", "symbol").distinct(), longest
+    sizes = sorted(keyed.agg(F.collect_set("n")).first()[0])
+    return keyed.select("key", "symbol").distinct(), sizes
 
 
 def named_entities(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """(interaction_id, symbol) for every alias that a question holds as whole words.
 
-    The question's word n-grams up to the longest alias meet the dictionary in one equi-join, so its
-    size does not matter to the question row and no pattern is tried for each alias.
+    The question's word n-grams, of the lengths that aliases have, meet the dictionary in one equi-join,
+    so its size does not matter to the question row and no pattern is tried for each alias. Repeats of an
+    n-gram leave by the distinct at the end, which is on the few rows that met an alias.
     """
-    dictionary, longest = alias_dictionary(aliases)
-    if not longest:
+    dictionary, sizes = alias_dictionary(aliases)
+    if not sizes:
         return questions.select("interaction_id", F.lit("").alias("symbol")).limit(0)
 
     def grams(words: Column) -> Column:
-        of = lambda n: F.transform(
-            F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: i + n <= F.size(words)),
-            lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "),
-        )
-        return F.array_distinct(F.concat(*[of(n) for n in range(1, longest + 1)]))
+        first = lambda n: F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        run = lambda n: lambda word, i: F.concat_ws(" ", word, *[F.get(words, i + k) for k in range(1, n)])
+        return F.concat(*[words if n == 1 else F.transform(first(n), run(n)) for n in sizes])
 
     asked = questions.select("interaction_id", F.explode(let(terms("query"), grams)).alias("key"))
     return asked.join(dictionary, "key").select("interaction_id", "symbol").distinct()
