@@ -193,11 +193,14 @@ def dot(left: Column, right: Column) -> Column:
 
 
 def dense_scores(
-    candidates: DataFrame, questions: DataFrame, vector: str = "vector"
+    candidates: DataFrame, questions: DataFrame, vector: str = "vector", measured: DataFrame | None = None
 ) -> DataFrame:
-    """Cosine of each candidate vector with its own question's vector."""
+    """Cosine of each candidate vector with its own question's vector.
+
+    ``measured`` is a cheaper table with about the candidates' shares of the questions.
+    """
     query = questions.select("interaction_id", unit_vector(F.col(vector)).alias("q_vector"))
-    joined = salted_join(candidates, query, "interaction_id", "evidence_id").withColumn(
+    joined = salted_join(candidates, query, "interaction_id", "evidence_id", measured=measured).withColumn(
         vector, unit_vector(F.col(vector))
     )
     return joined.withColumn("score", dot(F.col(vector), F.col("q_vector"))).drop(

@@ -132,13 +132,18 @@ def compare_methods(
     """BM25, dense, and dense re-ranked by a second scorer on one pool and one word budget.
 
     ``second_scorer`` gets the dense shortlist (interaction_id, evidence_id) and returns a score for
-    each of its rows; it never sees the rest of the pool. Returns the scored union and the filled
-    contexts, both keyed by (question, method).
+    each of its rows; it never sees the rest of the pool. Vectors become scores where they are, and only
+    those meet the pool; the shortlist is worked out before the second scorer looks its rows up. Returns
+    the scored union and the filled contexts, both keyed by (question, method).
     """
     slim = lexical.select("interaction_id", "evidence_id", "word_count", "score")
-    pool = slim.drop("score").join(vectors, ["interaction_id", "evidence_id"])
-    dense = share(dense_scores(pool, question_vectors))
+    own = vectors.select("interaction_id", "evidence_id", "vector")
+    question_vectors = share(question_vectors)
+    question_vectors.count()
+    near = dense_scores(own, question_vectors, measured=slim)
+    dense = share(slim.drop("score").join(near, ["interaction_id", "evidence_id"]))
     shortlist = share(top_k(dense, dense_top_k))
+    shortlist.count()
     refined = rescore(shortlist, second_scorer(shortlist.select("interaction_id", "evidence_id")))
     named = lambda df, m: df.withColumn("method", F.lit(m))
     union = (
