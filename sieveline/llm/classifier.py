@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -111,21 +112,26 @@ def log_count_ratios(rows: list[np.ndarray], good: np.ndarray, bits: int, smooth
 def dual_coordinate_descent(
     rows: list[np.ndarray], good: np.ndarray, ratios: np.ndarray, cost: float = 4.0, epochs: int = 12, seed: int = 7
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias of the hinge-loss model; both classes get the same total cost."""
+    """Weights and bias of the hinge-loss model; both classes get the same total cost.
+
+    A row's values are looked up again in each epoch: held for all rows they take twice what the rows do.
+    """
     signs = np.where(good, 1.0, -1.0)
     each = {s: cost * len(rows) / (2 * max(1, int((signs == s).sum()))) for s in (1.0, -1.0)}
-    values = []
-    for buckets in rows:
+    norms, squares = np.empty(len(rows)), np.empty(len(rows))
+    for i, buckets in enumerate(rows):
         x = ratios[buckets]
-        values.append(x / max(np.sqrt(x @ x), 1e-6))
-    squares = [float(x @ x) + 1.0 for x in values]
+        norms[i] = max(np.sqrt(x @ x), 1e-6)
+        x = x / norms[i]
+        squares[i] = float(x @ x) + 1.0
     weights, bias = np.zeros(len(ratios)), 0.0
     alphas = np.zeros(len(rows))
     random = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in random.permutation(len(rows)):
-            buckets, x, y = rows[i], values[i], signs[i]
+            buckets, y = rows[i], signs[i]
+            x = ratios[buckets] / norms[i]
             gradient = y * (float(weights[buckets] @ x) + bias) - 1.0
             new = min(max(alphas[i] - gradient / squares[i], 0.0), each[y])
             step = (new - alphas[i]) * y
@@ -166,6 +172,22 @@ def in_training(doc):
     return F.crc32(doc.cast("string").cast("binary")) % 5 != 0
 
 
+def ordered_rows(found: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """(buckets of each text, whether it is good) in an order that does not depend on the table's.
+
+    The rows are views into the table's own memory.
+    """
+    rows: list[np.ndarray] = []
+    for chunk in found.column("buckets").chunks:
+        ends = chunk.offsets.to_numpy()
+        rows += np.split(chunk.flatten().to_numpy(), ends[1:-1] - ends[0]) if len(chunk) else []
+    good = found.column("good").to_numpy().astype(bool)
+    size = lambda i: (good[i], len(rows[i]))
+    alike = groupby(sorted(range(len(rows)), key=size), size)
+    order = [i for _, same in alike for i in sorted(same, key=lambda i: rows[i].tobytes())]
+    return [rows[i] for i in order], good[order] if order else good
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -192,10 +214,7 @@ def train(
     # One text for each id, whatever the order of repeated rows.
     picked = sample.groupBy("doc").agg(F.min(F.struct("good", "body")).alias("x")).select("x.good", "x.body")
     found = picked.mapInArrow(_indicator_rows(bits), "good boolean, buckets array<int>").toArrow()
-    good = found.column("good").to_numpy().astype(bool)
-    rows = [row.values.to_numpy().astype(np.int64) for row in found.column("buckets")]
-    order = sorted(range(len(rows)), key=lambda i: (good[i], len(rows[i]), rows[i].tobytes()))
-    return fit([rows[i] for i in order], good[order] if order else good, bits)
+    return fit(*ordered_rows(found), bits)
 
 
 def _scored(model: Model, bits: int):

@@ -1,7 +1,9 @@
 import re
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -182,3 +184,28 @@ def test_encoded_documents(spark):
     assert all(r.round_trip and r.differing_pieces == 0 for r in got)
     assert sorted(r.n_ids for r in got) == sorted(len(REFERENCE.encode(t or "")) for _, t in ROWS)
     assert sentencepieces.encode_and_decode(no_documents(spark), PIECES).count() == 0
+
+
+def test_classifier_holds_its_rows_once():
+    """The driver fits on views of what was sent to it: no second copy of the indicators, no table of values."""
+    random = np.random.default_rng(3)
+    sent = [np.sort(random.choice(1 << 12, n, replace=False)).astype(np.int32) for n in (0, 900, 1000, *[1000] * 1500)]
+    good = random.random(len(sent)) < 0.5
+    kind = pa.schema([("good", pa.bool_()), ("buckets", pa.list_(pa.int32()))])
+    cuts = [0, 400, 400, 1000, len(sent)]
+    parts = [pa.record_batch([pa.array(good[a:b]), pa.array(sent[a:b], pa.list_(pa.int32()))], schema=kind) for a, b in zip(cuts, cuts[1:])]
+    found = pa.Table.from_batches([parts[0].slice(0, 100), parts[0].slice(100), *parts[1:]])
+    wide = [x.astype(np.int64) for x in sent]
+    order = sorted(range(len(sent)), key=lambda i: (good[i], len(wide[i]), wide[i].tobytes()))
+    tracemalloc.start()
+    rows, labels = classifier.ordered_rows(found)
+    del rows, labels
+    tracemalloc.reset_peak()
+    rows, labels = classifier.ordered_rows(found)
+    model = classifier.fit(rows, labels, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r.tolist() for r in rows] == [sent[i].tolist() for i in order] and labels.tolist() == good[order].tolist()
+    assert peak < 0.9 * sum(x.nbytes for x in sent)
+    again = classifier.fit([wide[i] for i in order], good[order], 12)
+    assert np.array_equal(model.weights, again.weights) and model.bias == again.bias
