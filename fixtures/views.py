@@ -196,9 +196,10 @@ def answer(style: Column) -> Column:
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Three policies for every prior-close question, with stored traces of a run."""
     asked = price_questions(spark, d).select("interaction_id", "query", "event_id")
-    known = evidence(spark, d).select("interaction_id", "close", "content")
+    wanted, days = share(requests(spark, d)), prices(spark, d)
+    known = prior_close_evidence(wanted, days, SNAPSHOT).select("interaction_id", "close", "content")
     rows = (
-        requests(spark, d)
+        wanted
         .join(asked, "interaction_id")
         .join(known, "interaction_id", "left")
         .withColumn("policy", _policies())

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures import catalog
+from fixtures import catalog, views
 from sieveline.operators.asof import alias_dictionary
 from sieveline.plans import retrieval as ret
 from sieveline.plans.lineage import release
@@ -18,6 +18,17 @@ def test_audit_works_its_run_out_once(spark, monkeypatch, name, step):
     assert len(calls) == 1
 
 
+def test_retry_audit_works_its_decisions_out_once(spark, monkeypatch):
+    decided, asked = [], []
+    decide, request = catalog._decisions, views.prior_close_requests
+    monkeypatch.setattr(catalog, "_decisions", lambda *a: decided.append(a) or decide(*a))
+    monkeypatch.setattr(views, "prior_close_requests", lambda *a: asked.append(a) or request(*a))
+    found = catalog.QUERIES["retry_audit"](spark, "/root/testdata/sf0.001").select("rule").distinct().collect()
+    release(spark)
+    assert len(decided) == 1 and len(asked) == 1
+    assert {"released_answer_differs", "combined_reserved_tokens_differs"} <= {r.rule for r in found}
+
+
 def test_dictionary_tells_the_lengths_that_occur(spark):
     rows = [("Alpha", "A"), ("one two three", "B"), ("four, five six", "C"), ("...", "D")]
     aliases = spark.createDataFrame(rows, "alias string, symbol string")
