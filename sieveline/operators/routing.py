@@ -6,9 +6,12 @@ policies and apportionment are column expressions on the question row: no join,
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,15 +76,16 @@ def source_hints(query: Column | str) -> Column:
     A market-cap question about the past asks for a time series, not for the snapshot.
     """
 
-    def counted(text: Column) -> Column:
-        past = text.rlike(bounded(HISTORICAL_PATTERN))
-        market = F.regexp_count(text, F.lit(bounded(HINT_PATTERNS["finance_market_cap"])))
-        weights = {
-            name: F.regexp_count(text, F.lit(bounded(pattern)))
-            for name, pattern in HINT_PATTERNS.items()
-        }
+    def hits(text: Column, pattern: str) -> Column:
+        """A pattern is only tried on a text that holds the start of one of its choices."""
+        held = [text.contains(re.match(r"[a-z0-9 -]+(?![?*{])", choice)[0]) for choice in pattern.split("|")]
+        return F.when(reduce(or_, held), F.regexp_count(text, F.lit(bounded(pattern)))).otherwise(0)
+
+    def weighed(text: Column, market: Column) -> Column:
+        past = (market > 0) & text.rlike(bounded(HISTORICAL_PATTERN))
+        weights = {name: hits(text, p) for name, p in HINT_PATTERNS.items() if name != "finance_market_cap"}
         weights["finance_market_cap"] = F.when(past, 0).otherwise(market)
-        weights["finance_timeseries"] = F.when(past & (market > 0), 1).otherwise(0)
+        weights["finance_timeseries"] = F.when(past, 1).otherwise(0)
         weights["web"] = F.lit(1)
         entries = F.array(
             *[
@@ -91,7 +95,8 @@ def source_hints(query: Column | str) -> Column:
         )
         return F.filter(entries, lambda e: e["weight"] > 0)
 
-    return let(casefold(query), counted)
+    market = lambda text: hits(text, HINT_PATTERNS["finance_market_cap"])
+    return let(casefold(query), lambda text: let(market(text), lambda n: weighed(text, n)))
 
 
 def gate(capabilities: Column, asked: Column) -> Column:
@@ -116,34 +121,35 @@ def gate(capabilities: Column, asked: Column) -> Column:
 def apportion(sources: Column, budget: Column) -> Column:
     """Largest-remainder split of ``budget`` over (name, weight) structs; zero shares drop.
 
-    Leftover units go to the largest remainders, ties to the smaller name.
+    Leftover units go to the largest remainders, ties to the smaller name. A single source gets the
+    whole budget; nothing is sorted for it, nor where nothing is left over.
     """
 
     def split(total: Column) -> Column:
-        share = lambda s: F.floor(budget * s["weight"] / total).cast("int")
-        by_remainder = F.array_sort(
-            F.transform(
-                sources, lambda s: F.struct(-((budget * s["weight"]) % total), s["name"])
-            )
+        part = lambda s: F.struct(
+            s["name"].alias("name"),
+            F.floor(budget * s["weight"] / total).cast("int").alias("tokens"),
+            ((budget * s["weight"]) % total).alias("over"),
         )
-        order = F.transform(by_remainder, lambda r: r["name"])
-        handed = F.aggregate(sources, F.lit(0), lambda acc, s: acc + share(s))
-        lucky = F.slice(order, F.lit(1), F.greatest(F.lit(0), budget - handed))
-        return let(
-            lucky,
-            lambda extra: F.transform(
-                sources,
-                lambda s: F.named_struct(
-                    F.lit("name"),
-                    s["name"],
-                    F.lit("tokens"),
-                    share(s) + F.array_contains(extra, s["name"]).cast("int"),
-                ),
-            ),
+        return let(F.transform(sources, part), lambda parts: let(left_of(parts), lambda left: hand_out(parts, left)))
+
+    def left_of(parts: Column) -> Column:
+        return budget - F.aggregate(parts, F.lit(0), lambda acc, p: acc + p["tokens"])
+
+    def hand_out(parts: Column, left: Column) -> Column:
+        order = F.sort_array(F.transform(parts, lambda p: F.struct(-p["over"], p["name"])))
+        lucky = F.transform(F.slice(order, F.lit(1), left), lambda r: r["name"])
+        plain = F.transform(parts, lambda p: F.struct(p["name"].alias("name"), p["tokens"].alias("tokens")))
+        more = lambda extra: F.transform(
+            parts,
+            lambda p: F.struct(p["name"].alias("name"), (p["tokens"] + F.array_contains(extra, p["name"]).cast("int")).alias("tokens")),
         )
+        return F.when(left > 0, let(lucky, more)).otherwise(plain)
 
     total = F.aggregate(sources, F.lit(0), lambda acc, s: acc + s["weight"])
-    shares = F.when(F.size(sources) > 0, let(total, split))
+    first = F.get(sources, F.lit(0))
+    alone = F.array(F.struct(first["name"].alias("name"), budget.cast("int").alias("tokens")))
+    shares = F.when((F.size(sources) == 1) & (first["weight"] > 0), alone).when(F.size(sources) > 0, let(total, split))
     kept = F.filter(shares, lambda s: s["tokens"] > 0)
     return F.coalesce(kept, F.array().cast("array<struct<name:string,tokens:int>>"))
 
@@ -186,9 +192,7 @@ def route(
         reserved.cast("int").alias("reserved_tokens"),
     )
     names = lambda rows: F.transform(rows, lambda r: r["name"])
-    eligible = F.array_sort(
-        names(F.filter("gate", lambda g: g["reason"].isNull()))
-    )
+    eligible = F.sort_array(names(F.filter("gate", lambda g: g["reason"].isNull())))
     listed = gated.withColumn("eligible", eligible).withColumn("asked", names(F.col("hints")))
     reasons = F.map_from_entries("gate")
     blocked = F.transform(
