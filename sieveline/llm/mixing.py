@@ -21,15 +21,17 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"SLM2"
+MAGIC = b"SLM3"
 HEADER = struct.Struct("<4sIQIIIII")  # magic, documents, ids, alphabet, lanes, steps, CRC of ids, CRC of the rest
-LANES = 8192
+LANES = 16384
 STEPS = 128  # least ids in a lane where there are enough of them
 _SLOTS = 20  # bits of the order-2 table
-_SCALE = 22  # bits of the range that ids not predicted are dealt
+_SCALE = 22  # most bits of the range that ids not predicted are dealt
 _U = np.uint64
-_TOP, _BOTTOM, _WORD = _U(1 << 48), _U(1 << 40), _U((1 << 56) - 1)
+# A range of 62 bits gives off 16 at a time, once they are settled or fewer than 39 are left of it.
+_TOP, _BOTTOM, _WORD = _U(1 << 46), _U(1 << 39), _U((1 << 62) - 1)
 _LEVELS = 8  # classes of an id's frequency, for prediction
+_LEVEL_OF = np.searchsorted([1, 2, 4, 8, 16, 32, 64], np.arange(65), side="right").astype(np.int32)  # by the share in 1/1024
 
 # Chances are in 1/4096, their logits in 1/256.
 _STRETCH = np.array([0] + [round(256 * math.log(p / (4096 - p))) for p in range(1, 4096)], np.int64)
@@ -42,6 +44,10 @@ _LEVEL_LOGIT = np.array([_STRETCH[max(1, min(4095, 1 << (k + 2)))] for k in rang
 _STATES = 16 * 16 * 2 * _LEVELS
 _STATE = np.arange(_STATES)
 _T2, _T1, _AGREE, _LEVEL = _STATE >> 8, _STATE >> 4 & 15, _STATE >> 3 & 1, _STATE & 7
+_STATES1 = 16 * _LEVELS
+# What a wrong or right prediction adds to id * 16 + trust, by right * 16 + trust.
+_TRUST = np.arange(16)
+_STEP = np.concatenate([-((_TRUST + 1) >> 1), _TRUST < 15]).astype(np.int32)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -51,33 +57,37 @@ def _squash(x: np.ndarray) -> np.ndarray:
 class _Model:
     """What writer and reader know before a step; ``update`` takes what they learn in it."""
 
-    def __init__(self, alphabet: int) -> None:
+    def __init__(self, alphabet: int, reads: bool = False) -> None:
         self.alphabet = alphabet
+        self.scale = max(20, min(_SCALE, alphabet.bit_length() + 4))
+        self.shift = _U(self.scale)
+        self.reads = reads
         # Predicted id and trust in it, as id * 16 + trust.
-        self.second = np.zeros(1 << _SLOTS, np.int64)
-        self.first = np.zeros(alphabet, np.int64)
+        self.second = np.zeros(1 << _SLOTS, np.int32)
+        self.first = np.zeros(alphabet, np.int32)
         self.right2 = np.array([200 + 240 * k for k in range(16)], np.int64)
         self.right1 = np.array([200 + 240 * k for k in range(16)], np.int64)
         # Weights for a disagreeing and an agreeing order-1 id, and for the order-1 id alone.
         self.weights = np.array([[0.9, 0.3, 0.1], [0.7, 0.6, 0.1]])
         self.alone = np.array([0.9, 0.1])
         self.counts = np.zeros(alphabet, np.int64)
-        self.met = np.zeros((2, _STATES), np.int64)
-        self.met1 = np.zeros((2, 16 * _LEVELS), np.int64)
         self.recent: list[np.ndarray] = []
+        self.met: list[np.ndarray] = []
+        self.met1: list[np.ndarray] = []
         self.step = 0
         self._rank()
         self._mix()
 
     def _rank(self) -> None:
         """Each id's part of the range, and the level of its frequency."""
-        total = int(self.counts.sum())
-        room = (1 << _SCALE) - self.alphabet
-        self.sizes = (self.counts * (room - 1) // max(1, total) + 1).astype(_U)
-        self.ends = np.cumsum(self.sizes)
-        self.starts = self.ends - self.sizes
-        share = self.counts * 1024 // max(1, total)
-        self.level = np.searchsorted([1, 2, 4, 8, 16, 32, 64], share, side="right")
+        total = max(1, int(self.counts.sum()))
+        room = (1 << self.scale) - self.alphabet
+        sizes = (self.counts * ((room - 1) / total)).astype(np.int64) + 1
+        ends = np.cumsum(sizes)
+        self.sizes, self.starts, self.last = sizes.view(_U), (ends - sizes).view(_U), _U(ends[-1] - 1)
+        self.level = _LEVEL_OF[np.minimum((self.counts * (1024 / total)).astype(np.int64), 64)]
+        if self.reads:
+            self.at = np.repeat(np.arange(self.alphabet, dtype=np.int32), sizes)
 
     def _mix(self) -> None:
         """The chances in every state, as shares of 65536 parts of the range."""
@@ -88,47 +98,59 @@ class _Model:
         self.share2 = (self.p2 << 4).astype(_U)
         self.inputs1 = np.stack([np.repeat(one, _LEVELS), np.tile(_LEVEL_LOGIT, 16)])
         self.p1 = _squash(self.alone[0] * self.inputs1[0] + self.alone[1] * self.inputs1[1])
-        self.part1 = self.p1.astype(_U)
+        # The second half is for order-1 ids that are the order-2 id, and have no share of their own.
+        self.part1 = np.concatenate([self.p1, np.zeros(_STATES1, np.int64)]).view(_U)
 
     def predict(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Order-2 and order-1 ids and their shares of 65536."""
-        self.slot = ((last * 0x9E3779B1 + before * 0x85EBCA77) >> 7) & ((1 << _SLOTS) - 1)
-        self.last = last
+        """Order-2 and order-1 ids, and up to where in 65536 the one and then the other reaches."""
+        mixed = last.view(np.uint32) * np.uint32(0x9E3779B1) + before.view(np.uint32) * np.uint32(0x85EBCA77)
+        mixed >>= np.uint32(7)
+        mixed &= np.uint32((1 << _SLOTS) - 1)
+        self.slot, self.prior = mixed.astype(np.int64), last
         self.v2, self.v1 = self.second[self.slot], self.first[last]
-        self.c2, self.c1 = self.v2 >> 4, self.v1 >> 4
+        c2, c1 = self.v2 >> 4, self.v1 >> 4
         self.t2, self.t1 = self.v2 & 15, self.v1 & 15
-        self.same = self.c1 == self.c2
-        self.state = (((self.t2 << 4 | self.t1) << 1 | self.same) << 3) | self.level[self.c2]
-        self.state1 = self.t1 << 3 | self.level[self.c1]
-        share2 = self.share2[self.state]
-        share1 = ((_U(65536) - share2) * self.part1[self.state1]) >> _U(12)
-        share1[self.same] = 0
-        return self.c2, self.c1, share2, share1
+        same = (c1 == c2).view(np.int8)
+        self.state = (self.t2 << 8) + (self.t1 << 4) + (same << 3) + self.level[c2]
+        self.state1 = (self.t1 << 3) + same * np.int32(_STATES1) + self.level[c1]
+        reach2 = self.share2[self.state]
+        reach1 = (_U(65536) - reach2) * self.part1[self.state1]
+        reach1 >>= _U(12)
+        reach1 += reach2
+        self.c1 = c1
+        return c2, c1, reach2, reach1
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """``hit1`` is true where the order-1 id alone was right, and had a share to be coded by."""
-        self.met[0] += np.bincount(self.state, minlength=_STATES)
-        self.met[1] += np.bincount(self.state[hit2], minlength=_STATES)
-        other = ~(self.same | hit2)
-        self.met1[0] += np.bincount(self.state1[other], minlength=16 * _LEVELS)
-        self.met1[1] += np.bincount(self.state1[hit1], minlength=16 * _LEVELS)
+        self.met.append(self.state + hit2 * np.int32(_STATES))
+        self.met1.append(self.state1 + hit2 * np.int32(2 * _STATES1) + hit1 * np.int32(4 * _STATES1))
         fresh = ids << 4
-        doubt = np.where(self.t2 > 0, self.v2 - ((self.t2 + 1) >> 1), fresh)
-        self.second[self.slot] = np.where(hit2, self.v2 + (self.t2 < 15), doubt)
-        doubt = np.where(self.t1 > 0, self.v1 - ((self.t1 + 1) >> 1), fresh)
-        self.first[self.last] = np.where(self.c1 == ids, self.v1 + (self.t1 < 15), doubt)
+        for table, slot, value, trust, right in (
+            (self.second, self.slot, self.v2, self.t2, hit2),
+            (self.first, self.prior, self.v1, self.t1, self.c1 == ids),
+        ):
+            known = trust + right * np.int32(16)
+            value = value + _STEP[known]
+            # An id that was wrong and not trusted gives way.
+            value += (fresh - value) * (known == 0)
+            table[slot] = value
         self.recent.append(ids)
         self.step += 1
-        if self.step % 8 == 0 or self.step & (self.step - 1) == 0:
+        if self.step % 16 == 0 or self.step & (self.step - 1) == 0:
             self._learn()
 
     def _learn(self) -> None:
-        n, right = self.met
-        n2, r2 = (m.reshape(16, -1).sum(axis=1) for m in self.met)
+        wrong, right = np.bincount(np.concatenate(self.met), minlength=2 * _STATES).reshape(2, -1)
+        n = wrong + right
+        missed1, *_, right_1 = np.bincount(np.concatenate(self.met1), minlength=5 * _STATES1).reshape(5, -1)
+        n_1 = missed1 + right_1
+        n2, r2 = (m.reshape(16, -1).sum(axis=1) for m in (n, right))
         self.right2 += (r2 * 4095 - n2 * self.right2) // (n2 + 256)
         # The order-1 id was right where it agreed and order 2 was right, or where it alone was.
-        agreed = self.met.reshape(2, 16, 16, 2, -1)[:, :, :, 1].sum(axis=(1, 3))
-        n1, r1 = agreed + self.met1.reshape(2, 16, -1).sum(axis=2)
+        n1, r1 = (
+            m.reshape(16, 16, 2, -1)[:, :, 1].sum(axis=(0, 2)) + m1.reshape(16, -1).sum(axis=1)
+            for m, m1 in ((n, n_1), (right, right_1))
+        )
         self.right1 += (r1 * 4095 - n1 * self.right1) // (n1 + 256)
         for right_now in (self.right2, self.right1):
             np.clip(right_now, 8, 4088, out=right_now)
@@ -138,13 +160,12 @@ class _Model:
             total = int(n[own].sum()) + 1
             for row in range(3):
                 self.weights[agree, row] += int((error[own] * self.inputs[row, own]).sum()) / total * 2.0**-21
-        error = (self.met1[1] << 12) - self.met1[0] * self.p1
-        total = int(self.met1[0].sum()) + 1
+        error = (right_1 << 12) - n_1 * self.p1
+        total = int(n_1.sum()) + 1
         for row in range(2):
             self.alone[row] += int((error * self.inputs1[row]).sum()) / total * 2.0**-21
-        self.met[:], self.met1[:] = 0, 0
         self.counts += np.bincount(np.concatenate(self.recent), minlength=self.alphabet)
-        self.recent = []
+        self.recent, self.met, self.met1 = [], [], []
         self._rank()
         self._mix()
 
@@ -154,121 +175,158 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def _ready(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """True for lanes whose next byte is settled; a range about to get too small is cut short."""
+def _settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """True for lanes whose next 16 bits are settled; a range about to get too small is cut short."""
     settled = (low ^ (low + span)) < _TOP
     tight = span < _BOTTOM
+    tight &= ~settled
     if tight.any():
-        tight &= ~settled
         span[tight] = (_U(0) - low[tight]) & (_BOTTOM - _U(1))
         settled |= tight
     return settled
 
 
+class _Ranges:
+    """The lanes' ranges: where they begin, how long they are, and their parts in a step."""
+
+    def __init__(self, lanes: int) -> None:
+        self.low, self.span = np.zeros(lanes, _U), np.full(lanes, _WORD, _U)
+        self.bounds = np.zeros((4, lanes), _U)
+        self.lanes, self.lane = lanes, np.arange(lanes)
+
+    def cut(self, on: int, reach2: np.ndarray, reach1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the parts of the order-2 id and of the order-1 id end; the third part is for all others."""
+        part = self.span[:on] >> _U(16)
+        first, second = self.bounds[1, :on], self.bounds[2, :on]
+        np.multiply(reach2, part, out=first)
+        np.multiply(reach1, part, out=second)
+        np.left_shift(part, _U(16), out=self.bounds[3, :on])
+        return first, second
+
+    def take(self, on: int, part: np.ndarray) -> None:
+        """Go on with part 0, 1 or 2 of each range."""
+        place = part * np.int64(self.lanes) + self.lane[:on]
+        begin = self.bounds.ravel()[place]
+        place += self.lanes
+        self.low[:on] += begin
+        np.subtract(self.bounds.ravel()[place], begin, out=self.span[:on])
+
+    def take_share(self, which: np.ndarray, start: np.ndarray, size: np.ndarray, part: np.ndarray) -> None:
+        self.low[which] += start * part
+        self.span[which] = size * part
+
+    def shift(self, on: int, moved) -> None:
+        """Give off settled bits, 16 at a time; ``moved`` is called with the lanes before each time."""
+        low, span = self.low[:on], self.span[:on]
+        settled = _settled(low, span)
+        which = np.flatnonzero(settled)
+        moved(which)
+        by = settled.astype(_U) << _U(4)
+        low <<= by
+        low &= _WORD
+        span <<= by
+        # Few have 16 bits more.
+        which = which[_settled_again(low, span, which)]
+        while len(which):
+            moved(which)
+            low[which] = (low[which] << _U(16)) & _WORD
+            span[which] <<= _U(16)
+            which = which[_settled_again(low, span, which)]
+
+
+def _settled_again(low: np.ndarray, span: np.ndarray, which: np.ndarray) -> np.ndarray:
+    own = span[which]
+    settled = _settled(low[which], own)
+    span[which] = own
+    return settled
+
+
 def encode_ids(ids: np.ndarray, alphabet: int) -> tuple[list[int], bytes]:
     """Bytes of each lane, and all their bytes one after the other."""
     n = len(ids)
     lanes, steps = _shape(n)
-    model = _Model(alphabet)
-    low, span = np.zeros(lanes, _U), np.full(lanes, _WORD, _U)
-    room = 6 * steps + 8
-    out = np.zeros(lanes * room, np.uint8)
-    at = np.arange(lanes) * room
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    grid = np.zeros(lanes * steps, np.int64)
+    model, ranges = _Model(alphabet), _Ranges(lanes)
+    room = 3 * steps + 4
+    # All lanes' first words, then all second ones: lanes get on alike, so what is written lies together.
+    out = np.zeros(room * lanes, "<u2")
+    at = np.arange(lanes)
+    last, before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+
+    def write(which: np.ndarray) -> None:
+        place = at[which]
+        out[place] = ranges.low[which] >> _U(46)
+        place += lanes
+        at[which] = place
+
     for step in range(steps):
         on = -(-(n - step) // steps)  # lanes that still have an id
-        now, lo, sp = grid[step, :on], low[:on], span[:on]
-        c2, c1, share2, share1 = model.predict(last[:on], before[:on])
+        now = grid[step, :on]
+        c2, c1, reach2, reach1 = model.predict(last[:on], before[:on])
         hit2 = now == c2
-        hit1 = (now == c1) & ~hit2 & (share1 > _U(0))
-        part = sp >> _U(16)
-        rest = ~(hit2 | hit1)
-        skipped = np.where(hit2, _U(0), share2)
-        size = np.where(hit2, share2, np.where(hit1, share1, _U(65536) - share2 - share1))
-        skipped[rest] += share1[rest]
-        lo += skipped * part
-        np.multiply(size, part, out=sp)
-        others = np.flatnonzero(rest)
-        if len(others):
-            own = now[others]
-            part = sp[others] >> _U(_SCALE)
-            lo[others] += model.starts[own] * part
-            sp[others] = model.sizes[own] * part
-        which = np.flatnonzero(_ready(lo, sp))
-        while len(which):
-            out[at[which]] = (lo[which] >> _U(48)).astype(np.uint8)
-            at[which] += 1
-            l2, s2 = (lo[which] << _U(8)) & _WORD, sp[which] << _U(8)
-            more = _ready(l2, s2)
-            lo[which], sp[which] = l2, s2
-            which = which[more]
+        hit1 = (now == c1) & ~hit2 & (reach1 > reach2)
+        beyond = ~(hit2 | hit1)
+        ranges.cut(on, reach2, reach1)
+        ranges.take(on, hit1 + 2 * beyond.view(np.int8))
+        others = np.flatnonzero(beyond)
+        own = now[others]
+        ranges.take_share(others, model.starts[own], model.sizes[own], ranges.span[others] >> model.shift)
+        ranges.shift(on, write)
         model.update(now, hit2, hit1)
         before[:on] = last[:on]
         last[:on] = now
-    # Two bytes name a number inside what is left of the range; the reader goes on with zeros.
-    final = (low + _BOTTOM - _U(1)) >> _U(40)
-    out[at] = (final >> _U(8)).astype(np.uint8)
-    out[at + 1] = (final & _U(255)).astype(np.uint8)
-    used = at + 2 - np.arange(lanes) * room
+    # 32 bits name a number inside what is left of the range; the reader goes on with zeros.
+    final = (ranges.low + _U((1 << 30) - 1)) >> _U(30)
+    out[at], out[at + lanes] = final >> _U(16), final & _U(65535)
+    used = at // lanes + 2
+    room = int(used.max())
     kept = np.arange(room)[None, :] < used[:, None]
-    return used.tolist(), out.reshape(lanes, room)[kept].tobytes()
+    return (2 * used).tolist(), np.ascontiguousarray(out[: room * lanes].reshape(room, lanes).T)[kept].tobytes()
 
 
 def decode_ids(n: int, alphabet: int, lanes: int, steps: int, sizes: np.ndarray, data: bytes) -> np.ndarray:
-    model = _Model(alphabet)
-    raw = np.append(np.frombuffer(data, np.uint8), np.uint8(0)).astype(_U)
-    ends = np.cumsum(sizes)
-    at = ends - sizes
+    model, ranges = _Model(alphabet, reads=True), _Ranges(lanes)
+    # Laid out as the writer had them, with as many zeros behind each lane's words as can be asked for.
+    words = sizes // 2
+    room = int(words.max(initial=0)) + 4
+    raw = np.zeros((lanes, room), "<u2")
+    raw[np.arange(room)[None, :] < words[:, None]] = np.frombuffer(data, "<u2")
+    raw = np.ascontiguousarray(raw.T).ravel()
+    at = np.arange(lanes)
+    # The number has 62 bits: three words and 14 bits of a fourth, of which two bits wait.
+    number = np.zeros(lanes, _U)
+    for k in range(3):
+        number = (number << _U(16)) | raw[at + k * lanes]
+    at += 3 * lanes
+    number = (number << _U(14)) | (raw[at] >> np.uint16(2))
+    last, before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    grid = np.zeros((steps, lanes), np.int32)
 
-    def next_bytes(which: np.ndarray) -> np.ndarray:
+    def read(which: np.ndarray) -> None:
         place = at[which]
-        found = raw[np.minimum(place, len(raw) - 1)]
-        over = place >= ends[which]
-        if over.any():
-            found[over] = 0
-        at[which] = place + 1
-        return found
-
-    low, span, code = np.zeros(lanes, _U), np.full(lanes, _WORD, _U), np.zeros(lanes, _U)
-    everyone = np.arange(lanes)
-    for _ in range(7):
-        code = (code << _U(8)) | next_bytes(everyone)
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    grid = np.zeros((steps, lanes), np.int64)
+        new = (raw[place].astype(_U) << _U(14)) & _U(65535)
+        place += lanes
+        new |= raw[place] >> np.uint16(2)
+        at[which] = place
+        number[which] = ((number[which] << _U(16)) & _WORD) | new
+
     for step in range(steps):
         on = -(-(n - step) // steps)
-        lo, sp, co = low[:on], span[:on], code[:on]
-        c2, c1, share2, share1 = model.predict(last[:on], before[:on])
-        part = sp >> _U(16)
-        inside = co - lo
-        first, second = share2 * part, share1 * part
-        hit2 = inside < first
-        hit1 = ~hit2 & (inside < first + second)
-        rest = ~(hit2 | hit1)
-        skipped = np.where(hit2, _U(0), first)
-        skipped[rest] += second[rest]
-        lo += skipped
-        sp[:] = np.where(hit2, first, np.where(hit1, second, (_U(65536) - share2 - share1) * part))
-        now = np.where(hit2, c2, c1)
-        others = np.flatnonzero(rest)
-        if len(others):
-            l2 = lo[others]
-            part = sp[others] >> _U(_SCALE)
-            value = np.minimum((co[others] - l2) // part, model.ends[-1] - _U(1))
-            own = np.searchsorted(model.ends, value, side="right")
-            lo[others] = l2 + model.starts[own] * part
-            sp[others] = model.sizes[own] * part
-            now[others] = own
-        which = np.flatnonzero(_ready(lo, sp))
-        while len(which):
-            co[which] = ((co[which] << _U(8)) & _WORD) | next_bytes(which)
-            l2, s2 = (lo[which] << _U(8)) & _WORD, sp[which] << _U(8)
-            more = _ready(l2, s2)
-            lo[which], sp[which] = l2, s2
-            which = which[more]
+        c2, c1, reach2, reach1 = model.predict(last[:on], before[:on])
+        first, second = ranges.cut(on, reach2, reach1)
+        inside = number[:on] - ranges.low[:on]
+        missed2, beyond = inside >= first, inside >= second
+        hit2, hit1 = ~missed2, missed2 & ~beyond
+        ranges.take(on, missed2.view(np.int8) + beyond.view(np.int8))
+        others = np.flatnonzero(beyond)
+        part = ranges.span[others] >> model.shift
+        own = model.at[np.minimum((number[others] - ranges.low[others]) // part, model.last).view(np.int64)]
+        ranges.take_share(others, model.starts[own], model.sizes[own], part)
+        now = c2 + (c1 - c2) * hit1
+        now[others] = own
+        ranges.shift(on, read)
         model.update(now, hit2, hit1)
         before[:on] = last[:on]
         last[:on] = now
@@ -290,7 +348,8 @@ def write_block(docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     index = len(body) - len(data) - 4 * len(lane_sizes)
     crc = zlib.crc32(np.asarray(ids, "<u4").tobytes())
     body = struct.pack("<I", index) + body
-    return HEADER.pack(MAGIC, len(docs), len(ids), alphabet, lanes, steps, crc, zlib.crc32(body)) + body
+    head = HEADER.pack(MAGIC, len(docs), len(ids), alphabet, lanes, steps, crc, 0)[:-4]
+    return head + struct.pack("<I", zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,7 +358,7 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError("the block is too short")
     magic, n_docs, n, alphabet, lanes, steps, crc, rest = HEADER.unpack_from(block)
     body = block[HEADER.size :]
-    if magic != MAGIC or zlib.crc32(body) != rest:
+    if magic != MAGIC or zlib.crc32(body, zlib.crc32(block[: HEADER.size - 4])) != rest:
         raise ValueError("the block is damaged")
     (index,) = struct.unpack_from("<I", body)
     table = zlib.decompress(body[4 : 4 + index])

@@ -159,6 +159,15 @@ class SentencePieceEncoder(PieceEncoder):
         self.differing = 0
         return build_tokenizer(model, prefixed=False) if self.split else self.whole
 
+    def _widths(self) -> np.ndarray:
+        return np.zeros(0, np.int64)
+
+    def _coded_words(self, words: list[str], widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._coded([" " + word for word in words])  # one by one, as each is compared with the reference
+
+    def _found(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._listed(parts)
+
     def _prepared(self, text: str) -> str:
         return " " + text if self.split else text
 

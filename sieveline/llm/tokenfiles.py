@@ -16,7 +16,7 @@ from .mixing import read_block, write_block
 from .tokens import encoder
 
 #: A block ends with the document that brings it to so many ids.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 BLOCKS = "part int, block int, n_docs long, n_tokens long, data binary"
 NO_ID = -(1 << 63)
 

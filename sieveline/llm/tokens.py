@@ -11,28 +11,25 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # A space next to other white space, or in front: there the plain split would cut too often.
 _IRREGULAR = re.compile(r"\s |^ ")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
+# The same for Arrow, whose \s is narrower; a text that matches is cut by the patterns above.
+_ARROW_IRREGULAR = (
+    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |^ |^$"
+)
 _SEGMENT = 1 << 20
-_BATCH_CHARS = 2_000_000
-
-
-class _Index(dict):
-    """Numbers for keys in order of first use; new ones are also listed in ``unseen``."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.unseen: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        number = self[key] = len(self)
-        self.unseen.append(key)
-        return number
+_BATCH_CHARS = 6_000_000
+_JOINED = 64  # new pieces that are encoded as one text
+_FEW_CHARS = 1 << 14  # so short a batch is looked up piece by piece
+# A key that is not a word between two spaces; these pieces are encoded alone.
+_NO_WORD = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]$| |^$"
 
 
 def segments(text: str, size: int = _SEGMENT) -> Iterator[str]:
@@ -68,10 +65,11 @@ def keys_of(text: str) -> list[str]:
 
 
 class PieceEncoder:
-    """Ids of whole texts; remembers at most ``limit`` pieces and then starts afresh."""
+    """Ids of whole texts; of more than ``limit`` pieces it remembers those met in several batches."""
 
-    def __init__(self, path: str, limit: int = 900_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         self.tokenizer = self._load(path)
+        self.widths = self._widths()
         self.limit = limit
         self._reset()
 
@@ -87,61 +85,168 @@ class PieceEncoder:
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _widths(self) -> np.ndarray:
+        """Bytes of every id: a vocabulary entry has one character for each, added tokens are plain text."""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        widths = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
+        widths[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        for number, token in self.tokenizer.get_added_tokens_decoder().items():
+            widths[number] = len(token.content.encode())
+        return widths
+
+    def _coded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each piece, all ids)."""
+        ids = self._ids(pieces)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return sizes, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+
+    def _coded_words(self, words: list[str], widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words with a space in front, many as one text, which is cut again by its bytes."""
+        flat = self._coded([" " + " ".join(words[at : at + _JOINED]) for at in range(0, len(words), _JOINED)])[1]
+        ends = np.cumsum(widths + 1)
+        reached = np.cumsum(self.widths[flat])
+        last = np.searchsorted(reached, ends)
+        if len(last) and (last[-1] + 1 != len(flat) or (reached[last] != ends).any()):
+            return self._coded([" " + word for word in words])
+        return np.diff(last, prepend=-1), flat
+
     def _prepared(self, text: str) -> str:
         return text
 
     def _reset(self) -> None:
-        self.index = _Index()
+        self.index: dict[str, int] = {}  # numbers of keys, in order of first use
+        self.unseen: list[str] = []  # the last of them, not encoded yet
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int32)
         self.chars = np.zeros(1 << 14, np.int32)
+        self.uses = np.zeros(1 << 14, np.int32)
         self.used = 0
+        self.met: list[np.ndarray] = []  # numbers looked up in this batch
+
+    def _forget(self) -> None:
+        """Keep the pieces that were met in most batches, of half the room at most, and none met in one only."""
+        uses = self.uses[: len(self.index)]
+        kept = np.flatnonzero(uses > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(-uses[kept], kind="stable")[: self.limit // 2]])
+        sizes = self.sizes[kept].astype(np.int64)
+        ends = np.cumsum(sizes)
+        if self.used > 8 * self.limit and (not len(ends) or ends[-1] > 4 * self.limit):
+            self._reset()
+            return
+        keys = list(self.index)
+        ids = self.ids[np.repeat(self.starts[kept] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        tables = self.sizes[kept], self.chars[kept], np.ones(len(kept), np.int32)
+        self._reset()
+        self.index = {keys[n]: m for m, n in enumerate(kept.tolist())}
+        self._grow(len(kept), len(ids))
+        self.starts[: len(kept)] = ends - sizes
+        self.sizes[: len(kept)], self.chars[: len(kept)], self.uses[: len(kept)] = tables
+        self.ids[: len(ids)] = ids
+        self.used = len(ids)
+
+    def _grow(self, pieces: int, ids: int) -> None:
+        while pieces > len(self.sizes):
+            for name in ("starts", "sizes", "chars", "uses"):
+                table = getattr(self, name)
+                setattr(self, name, np.concatenate([table, np.zeros_like(table)]))
+        while ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+
+    def _number(self, keys: list[str]) -> np.ndarray:
+        """Numbers of keys; keys that are met for the first time get the next ones."""
+        index = self.index
+        numbers = np.fromiter(map(index.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            first, missed = len(index), [keys[n] for n in new.tolist()]
+            fresh = list(dict.fromkeys(missed))
+            index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            self.unseen += fresh
+            alike = len(fresh) < len(missed)
+            numbers[new] = list(map(index.__getitem__, missed)) if alike else first + np.arange(len(new))
+        self.met.append(numbers)
+        return numbers
 
     def _learn(self) -> None:
         """Encode the pieces seen for the first time."""
-        unseen, first = self.index.unseen, len(self.index) - len(self.index.unseen)
-        self.index.unseen = []
-        for at in range(0, len(unseen), 4096):
-            some = [literal(key) for key in unseen[at : at + 4096]]
-            ids = self._ids(some)
-            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-            low, high = first + at, first + at + len(ids)
-            while high > len(self.sizes):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-                self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            self.sizes[low:high] = sizes
-            self.chars[low:high] = np.fromiter(map(len, some), np.int32, len(some))
-            self.starts[low:high] = self.used + np.cumsum(sizes) - sizes
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-
-    def _numbers(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of every piece, pieces of each part); new pieces are encoded."""
+        unseen, self.unseen = self.unseen, []
+        first = len(self.index) - len(unseen)
+        for at in range(0, len(unseen), 1 << 13):
+            some = unseen[at : at + (1 << 13)]
+            column = pa.array(some, pa.large_string())
+            alone = pc.match_substring_regex(column, _NO_WORD).to_numpy(zero_copy_only=False)
+            widths = pc.binary_length(column).to_numpy().astype(np.int64)
+            # A key with a space stands for a piece of one character less.
+            spaced = pc.match_substring(column, " ").to_numpy(zero_copy_only=False)
+            self._grow(first + at + len(some), 0)
+            places = first + at + np.arange(len(some))
+            self.chars[places] = pc.utf8_length(column).to_numpy() + np.where(spaced, -1, 1)
+            for mine in (np.flatnonzero(~alone), np.flatnonzero(alone)):
+                if not len(mine):
+                    continue
+                keys = [some[n] for n in mine.tolist()]
+                sizes, flat = self._coded([literal(k) for k in keys]) if alone[mine[0]] else self._coded_words(keys, widths[mine])
+                self._grow(0, self.used + len(flat))
+                self.sizes[places[mine]] = sizes
+                self.starts[places[mine]] = self.used + np.cumsum(sizes) - sizes
+                self.ids[self.used : self.used + len(flat)] = flat
+                self.used += len(flat)
+
+    def _listed(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of every piece, pieces of each part), looked up piece by piece."""
         keys: list[str] = []
         counts = np.zeros(len(parts), np.int64)
         for n, part in enumerate(parts):
             own = self._keys(part)
             counts[n] = len(own)
             keys += own
+        return self._number(keys), counts
+
+    def _found(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same; Arrow cuts regular texts, and each of their different pieces is looked up once."""
+        if sum(map(len, parts)) < _FEW_CHARS:
+            return self._listed(parts)
+        column = pa.array(parts, pa.large_string())
+        odd = pc.match_substring_regex(column, _ARROW_IRREGULAR)
+        cut = pc.split_pattern(column.filter(pc.invert(odd)), " ")
+        pieces = cut.flatten().dictionary_encode()
+        keys = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = self._number(keys)[pieces.indices.to_numpy()]
+        counts = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+        firsts = np.cumsum(counts) - counts
+        # The first piece of a text has no space in front.
+        which[firsts] = self._number([" " + keys[n] for n in pieces.indices.to_numpy()[firsts]])
+        odd = odd.to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return which, counts
+        both, own = np.zeros(len(parts), np.int64), iter(np.split(which, firsts[1:]) if len(firsts) else [])
+        others, both[odd] = self._listed([part for part, is_odd in zip(parts, odd, strict=True) if is_odd])
+        both[~odd] = counts
+        other = iter(np.split(others, np.cumsum(both[odd])[:-1]))
+        return np.concatenate([next(other if is_odd else own) for is_odd in odd]), both
+
+    def _numbers(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of every piece, pieces of each part); new pieces are encoded."""
         if len(self.index) > self.limit or self.used > 8 * self.limit:
-            self._reset()
-        which = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
-        if self.index.unseen:
+            self._forget()
+        which, counts = self._found(parts)
+        if self.unseen:
             self._learn()
+        for numbers in self.met:
+            self.uses[numbers] += 1
+        self.met = []
         return which, counts
 
     def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         which, counts = self._numbers(parts)
         sizes = self.sizes[which].astype(np.int64)
         ends = np.cumsum(sizes)
-        flat = self.ids[
-            np.repeat(self.starts[which] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-        ]
+        # Places are few enough for 32 bits: some ids for each of ``limit`` pieces and of one batch.
+        places = np.repeat((self.starts[which] - ends + sizes).astype(np.int32), sizes)
+        places += np.arange(len(places), dtype=np.int32)
+        flat = self.ids[places]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return flat, np.diff(bounds)
 

@@ -178,3 +178,38 @@ def test_counts_of_redacted_texts(spark):
     assert all(r.n_after == r.n_tokens and not r.chars_encoded for r in rows if not r.n_edits)
     assert sorted(r.n_tokens for r in rows) == sorted(len(ids_of(t)) for _, t in secret)
     assert counts.count_redacted(no_documents(spark), PATH).count() == 0
+
+
+class Counted(PieceEncoder):
+    """Counts the texts that go to the library."""
+
+    texts = 0
+
+    def _ids(self, pieces):
+        self.texts += len(pieces)
+        return super()._ids(pieces)
+
+
+def test_new_words_share_a_text():
+    text = " ".join(f"word{n:05d}x," for n in range(20_000))
+    own = Counted(PATH)
+    assert list(next(own.encode([text]))) == ids_of(text)
+    assert own.texts < 1000
+
+
+def test_frequent_pieces_are_not_forgotten():
+    own = Counted(PATH, limit=6000)
+    common = " ".join(f"often{n}" for n in range(1000))
+    for n in range(9):
+        text = common + "".join(f" rare{n}x{k}" for k in range(2500))
+        assert list(next(own.encode([text]))) == ids_of(text)
+    before = own.texts
+    assert list(next(own.encode([common]))) == ids_of(common) and own.texts == before
+    assert len(own.index) < 8600
+
+
+def test_arrow_cuts_where_the_patterns_cut():
+    own, texts = PieceEncoder(PATH), ["plain text " * 2000]
+    for space in [chr(n) for n in range(0x3001) if chr(n).isspace()]:
+        texts += [f"a{space} b", f"{space}b c", f"a{space}", f"a {space}b", f"{space}"]
+    assert [list(x) for x in own.encode(texts)] == [ids_of(t) for t in texts]
