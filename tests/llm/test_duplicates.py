@@ -382,3 +382,19 @@ def test_candidates_are_all_windows_with_enough_common_tokens():
                 wanted.add((i, j))
     assert wanted and got >= wanted
     assert len(got - wanted) <= len(wanted) // 10  # tokens that share their 16 bits
+
+
+def test_windows_that_share_a_phrase_only_make_no_pairs(monkeypatch):
+    rng = np.random.default_rng(26)
+    size = 4000
+    around = rng.integers(1, 1 << 16, (size, 91)).astype(np.uint16)
+    around[:, 38:52] = around[0, 38:52]  # the phrase, 14 tokens
+    around[size // 2 :: 4, 60:] = 9  # and a repeated word behind it
+    around[3000, 20:70] = around[700, 20:70]
+    need = np.full(size, 46, np.int32)
+    need[size // 2 :: 4] = 30
+    group = {"key": np.zeros(size, np.int64), "doc": np.arange(size), "around": around, "need": need, "open": np.ones(size, bool)}
+    looked_at, sketches = [], passages._sketches
+    monkeypatch.setattr(passages, "_sketches", lambda rows: looked_at.append(len(rows)) or sketches(rows))
+    assert [pair[:2] for pair in passages.best_earlier(group, 0, 10)] == [(3000, 700)]
+    assert sum(looked_at) < 400
