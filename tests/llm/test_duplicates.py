@@ -398,3 +398,15 @@ def test_windows_that_share_a_phrase_only_make_no_pairs(monkeypatch):
     monkeypatch.setattr(passages, "_sketches", lambda rows: looked_at.append(len(rows)) or sketches(rows))
     assert [pair[:2] for pair in passages.best_earlier(group, 0, 10)] == [(3000, 700)]
     assert sum(looked_at) < 400
+
+
+def test_runs_of_words_have_few_windows(spark):
+    other = [f"{prose(9000 + n, 60)}" for n in range(4)]
+    texts = [b"word " * 800, b"one two three " * 300]
+    assert len(passages.compact_windows(texts[:1], 46, 4)["node"]) <= 4 * 51
+    assert len(passages.compact_windows(texts[1:], 46, 4)["node"]) <= 4 * 120
+    # A long run is covered from end to end by the short one of an earlier document, at any place.
+    rows = [(1, f"{other[0]} {'word ' * 70}{other[1]}"), (2, f"{other[2]} {'word ' * 900}{other[3]}")]
+    spans = passages.passages_by_text(passages.near_passages(documents(spark, rows))).collect()
+    covered = {w for row in spans for s in row.spans for w in range(s.low, s.high)}
+    assert {row.doc for row in spans} == {2} and covered >= set(range(60, 960))
