@@ -1,8 +1,10 @@
 import hashlib
+import operator
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -410,3 +412,95 @@ def test_runs_of_words_have_few_windows(spark):
     spans = passages.passages_by_text(passages.near_passages(documents(spark, rows))).collect()
     covered = {w for row in spans for s in row.spans for w in range(s.low, s.high)}
     assert {row.doc for row in spans} == {2} and covered >= set(range(60, 960))
+
+
+def test_candidates_of_several_rounds_are_found_in_one_pass(spark, monkeypatch):
+    # A comparison that never finds a passage leaves all windows open, so all candidates are gone through.
+    passes, rounds, made = [], [], passages._candidates
+    rows = [(n, f"{prose(9600 + n, 30)} {prose(9500, 60)} {prose(9700 + n, 30)}") for n in range(24)]
+    nothing = spark.createDataFrame([], "doc long, mark long, other long, low long, high long")
+    monkeypatch.setattr(passages, "_candidates", lambda *a: passes.append(a) or made(*a))
+    monkeypatch.setattr(passages, "_compared", lambda pairs, *_: rounds.append(pairs.select("doc", "other").distinct().count()) or nothing)
+    assert passages.near_passages(documents(spark, rows)).count() == 0
+    # The first documents, then 1, 4 and 16 candidates of each window and what is left.
+    assert len(rounds) == 5 and sum(rounds[1:]) >= 24 * 23 // 2
+    assert len(passes) == 1
+
+
+@pytest.mark.parametrize("rows_at_once", [1, 7, 10_000])
+def test_met_windows_and_the_first_alike(rows_at_once):
+    rng = np.random.default_rng(41)
+    size = 600
+    columns = {n: rng.integers(0, top, size) for n, top in (("key", 60), ("doc", 8), ("mark", 2), ("node", 9), ("before", 3), ("after", 3), ("ahead", 3), ("behind", 2))}
+    columns["key"][rng.random(size) < 0.4] = 7  # a frequent one
+    order = np.lexsort([columns[n] for n in ("after", "before", "node", "doc", "key")])
+    columns = {n: c[order].astype(np.int32 if n in ("node", "before", "after") else np.int64) for n, c in columns.items()}
+    batches = pa.table(columns).to_batches(max_chunksize=50)
+    got = [row for batch in passages._met_rows(rows_at_once)(iter(batches)) for row in batch.to_pylist()]
+    rows = [dict(zip(columns, row, strict=True)) for row in zip(*(c.tolist() for c in columns.values()), strict=True)]
+    docs = {}
+    for r in rows:
+        docs.setdefault(r["key"], set()).add(r["doc"])
+    wanted = [r for r in rows if len(docs[r["key"]]) > 1]
+    assert [[g[n] for n in ("key", "doc", "mark", "node", "before", "after")] for g in got] == [
+        [r[n] for n in ("key", "doc", "mark", "node", "before", "after")] for r in wanted
+    ]
+    for g, r in zip(got, wanted, strict=True):
+        pairs = []
+        for side in ("ahead", "behind"):
+            one = min(
+                ((o["doc"], o["node"], o["before"], o["after"]) for o in wanted if o["key"] == r["key"] and o[side] == r[side])
+            )
+            pairs.append((one[0], one[1], min(one[2], r["before"]), min(one[3], r["after"])) if one[0] < r["doc"] else None)
+        made = [tuple(g[f"{side}_{n}"] for n in ("doc", "node", "before", "after")) for side in ("ahead", "behind")]
+        assert {p for p in made if p[0] is not None} == {p for p in pairs if p}
+
+
+def test_bounds_of_rising_runs_of_windows():
+    rng = np.random.default_rng(42)
+    for values in (np.arange(500), np.append(np.arange(300)[::-1], np.arange(300)), rng.integers(0, 40, 700)):
+        first = np.arange(len(values)) // 250 * 250
+        for passes in (operator.gt, operator.ge):
+            last, bound = passages._nearest(values, np.arange(len(values)) - 1, first, passes)
+            for i, value in enumerate(values.tolist()):
+                before = [j for j in range(first[i], i) if not passes(values[j], value)]
+                assert bound[i] == bool(before) and (not before or last[i] == before[-1])
+
+
+@pytest.mark.parametrize("rows_at_once", [1, 50, 10_000])
+def test_regions_do_not_depend_on_batches(rows_at_once):
+    rng = np.random.default_rng(43)
+    seeds = set()
+    for _ in range(900):
+        pair, at, function = int(rng.integers(12)), int(rng.integers(0, 300)), int(rng.integers(4))
+        shift = 40 * (pair % 3) + int(rng.integers(3))
+        before, after = (int(x) for x in rng.integers(0, 40, 2))
+        seeds.add((pair // 3 + 9, pair % 3, at + shift << 32 | at, before << 34 | after << 4 | function))
+    rows = sorted(seeds, key=lambda s: s[:2]) * 2  # twice: union of both contexts
+    rows.sort(key=lambda s: s[:2])
+    table = pa.table(dict(zip(("doc", "other", "nodes", "reaches"), zip(*rows, strict=True), strict=True)))
+    got = [r for b in passages._region_rows(2, rows_at_once)(iter(table.to_batches(max_chunksize=33))) for r in b.to_pylist()]
+    wanted = []
+    for pair in sorted({s[:2] for s in seeds}):
+        windows = []
+        for _, _, nodes, reaches in (s for s in seeds if s[:2] == pair):
+            node, other = nodes >> 32, nodes & (1 << 32) - 1
+            windows.append((node - (reaches >> 34), node + (reaches >> 4 & (1 << 30) - 1), node - other, reaches & 15))
+        found = passages.regions_of(sorted(windows), 2)
+        if found:
+            lows, highs, other_lows, other_highs = (list(x) for x in zip(*found, strict=True))
+            wanted.append({"doc": pair[0], "other": pair[1], "later": True, "lows": lows, "highs": highs})
+            wanted.append({"doc": pair[1], "other": pair[0], "later": False, "lows": other_lows, "highs": other_highs})
+    assert wanted and got == wanted
+
+
+def test_few_calls_compare_a_region_of_repeated_tokens(monkeypatch):
+    # Sets were made anew for each stretch looked at, several sorts each.
+    rng = np.random.default_rng(44)
+    earlier = rng.integers(0, 1 << 40, 600).astype(np.uint64)
+    later = earlier.copy()
+    later[rng.integers(0, 600, 90)] = 5
+    sorts, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **k: sorts.append(1) or unique(*a, **k))
+    passages.similar_spans(later, earlier, 46, 0.8)
+    assert len(sorts) <= 2
